@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import pieces, tokens
+from blockmill.llm import encodings, pieces, tokens
 from blockmill.sources.tables import read_table
 
 
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = encodings.block_and_chunk_texts(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "chunks"))
+    return encodings.find_garbled(records)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_restored(spark, sf_dir).select("rec", "rec_id")
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.chunk_pieces(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "uploads"))
 
@@ -29,6 +38,8 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_ids": p6_ids,
