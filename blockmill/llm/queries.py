@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import encodings, pieces, tokens
+from blockmill.llm import encodings, neardup, pieces, tokens
 from blockmill.sources.tables import read_table
 
 
@@ -26,6 +26,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).select("chunk_id").distinct()
 
 
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similar_groups(read_table(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs_within(p5_groups(spark, sf_dir))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read_table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ QUERIES = {
     "p2_restored": p2_restored,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
 }
