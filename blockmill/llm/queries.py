@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import encodings, neardup, pieces, tokens
+from blockmill.llm import encodings, neardup, pieces, spans, tokens
 from blockmill.sources.tables import read_table
 
 
@@ -45,6 +45,14 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *sizes, (F.col("restored") & F.coalesce(last, F.lit(True))).alias("restored"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.documents_with_shared_spans(read_table(spark, sf_dir, "documents"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
@@ -54,6 +62,8 @@ QUERIES = {
     "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
 
 SIZED_UPLOADS = """
