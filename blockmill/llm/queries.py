@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import encodings, neardup, pieces, spans, tokens
+from blockmill.llm import encodings, mail, neardup, pieces, spans, tokens
 from blockmill.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail.marked_lines(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "mails")).select("block_id", "line_no")
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mail.new_texts(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "mails"))
+
+
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = encodings.block_and_chunk_texts(read_table(spark, sf_dir, "blocks"), read_table(spark, sf_dir, "chunks"))
     return encodings.find_garbled(records)
@@ -54,6 +62,8 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p4_found": p4_found,
