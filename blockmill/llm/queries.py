@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockmill.llm import encodings, mail, neardup, pieces, spans, tokens
+from blockmill.llm import encodings, mail, mixing, neardup, packing, pieces, spans, tokens
 from blockmill.sources.tables import read_table
 
 
@@ -26,6 +26,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_restored(spark, sf_dir).select("rec", "rec_id")
 
 
+def p3_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, chunks, uploads = (read_table(spark, sf_dir, t) for t in ("blocks", "chunks", "uploads"))
+    return packing.pack_items(packing.upload_items(blocks, chunks, uploads))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.chunk_pieces(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "uploads"))
 
@@ -53,6 +58,16 @@ def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *sizes, (F.col("restored") & F.coalesce(last, F.lit(True))).alias("restored"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read_table(spark, sf_dir, "mix_targets")
+    sized = mixing.weighed_documents(read_table(spark, sf_dir, "documents"))
+    return mixing.reached_shares(mixing.mix_sources(sized, targets), sized, targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.documents_with_shared_spans(read_table(spark, sf_dir, "documents"))
 
@@ -66,12 +81,15 @@ QUERIES = {
     "p1_texts": p1_texts,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
+    "p3_containers": p3_containers,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
 }
