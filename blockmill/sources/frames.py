@@ -24,8 +24,8 @@ def assemble_frames(frames: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder as (doc_id, filename, content_type, content, size options); oversized ones keep a null content, and the
-    filter on their length reaches the scan."""
+    """Files of a folder as (doc_id, filename, content_type, content, size options); documents beyond the bounds are
+    rejected by extract_documents. Spark itself passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return as_documents(files)
 
