@@ -181,7 +181,9 @@ def pack_items(items: DataFrame, slice_items: int = SLICE_ITEMS, rounds: int = 6
     The result does not depend on the order or the partitions of rows. An empty table gives an empty result.
     """
     with_checkpoints(items.sparkSession)
-    rest = items.select("rec", "upload_id", "item_id", "piece_no", F.col("bytes").cast("int").alias("bytes"), F.coalesce("queue", F.lit("")).alias("queue"), F.col("capacity").cast("int").alias("capacity"), F.lit(0.0).alias("owed")).checkpoint()
+    # Items without an upload share a key of their own, the least number there is.
+    none = F.lit(-(1 << 63)).cast("bigint")
+    rest = items.select("rec", F.coalesce("upload_id", none).alias("upload_id"), "item_id", "piece_no", F.col("bytes").cast("int").alias("bytes"), F.coalesce("queue", F.lit("")).alias("queue"), F.col("capacity").cast("int").alias("capacity"), F.lit(0.0).alias("owed")).checkpoint()
     done: DataFrame | None = None
     for round_no in range(rounds):
         counts = rest.groupBy("rec", "upload_id").agg(F.ceil(F.count("*") / slice_items).alias("slices"))
@@ -200,7 +202,7 @@ def pack_items(items: DataFrame, slice_items: int = SLICE_ITEMS, rounds: int = 6
         # What slices owe to a queue, together.
         owed = packed.select("rec", "upload_id", "queue", F.shiftright("container", 26).alias("part"), "owed").distinct().groupBy("rec", "upload_id", "queue").agg(F.sum("owed").alias("owed"))
         rest = again.select("rec", "upload_id", "item_id", "piece_no", "bytes", "queue", "capacity").join(owed, ["rec", "upload_id", "queue"]).select(*rest.columns).checkpoint()
-    return done.select("rec", "upload_id", "container", "item_id", "piece_no", "bytes")
+    return done.select("rec", F.nullif(F.col("upload_id"), none).alias("upload_id"), "container", "item_id", "piece_no", "bytes")
 
 
 def upload_items(blocks: DataFrame, chunks: DataFrame, uploads: DataFrame) -> DataFrame:
