@@ -12,6 +12,7 @@ bounded by the size of an upload (150 MiB).
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -76,8 +77,10 @@ _SPACES = re.compile(r"\s+")
 
 #: A block counts as a closing block if this many messages of a sender, or this many threads of a domain, end with it.
 SENDER_REPEATS, DOMAIN_REPEATS = 2, 3
-#: A pattern has at least so many characters.
-PATTERN_CHARS = 12
+#: A pattern has at least so many characters; a long one is looked up by more of them, so that few share a beginning.
+PATTERN_CHARS, LONG_CHARS = 12, 28
+#: Messages of a thread that are taken together, on average.
+SLICE_MAILS = 500
 
 
 def plain(text: str) -> str:
@@ -361,16 +364,20 @@ def patterns_of(mail: Mail) -> set[str]:
     return {p for p in out if len(p) >= PATTERN_CHARS and " " in p}
 
 
-def anchor_of(pattern: str) -> str:
-    """What of a pattern is looked up: its first characters."""
-    return pattern[:PATTERN_CHARS]
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def probes_of(mail: Mail) -> set[str]:
-    """The same for every place of the unmarked lines at which a pattern may start: after a blank or a mark."""
+def anchor_of(pattern: str) -> int:
+    """What a pattern is looked up by: a hash of its first characters."""
+    return _key(pattern[: LONG_CHARS if len(pattern) >= LONG_CHARS else PATTERN_CHARS])
+
+
+def probes_of(mail: Mail) -> set[int]:
+    """The same for every place of the unmarked lines at which a pattern may start: after a blank."""
     text, _ = stream_of(mail.own)
     starts = [0, *(m.end() for m in re.finditer(r"\s", text))]
-    return {text[k : k + PATTERN_CHARS] for k in starts if len(text) - k >= PATTERN_CHARS}
+    return {_key(text[k : k + n]) for k in starts for n in (PATTERN_CHARS, LONG_CHARS) if len(text) - k >= n}
 
 
 def mark_repeated(mail: Mail, automaton, stamp: tuple) -> None:
@@ -448,30 +455,30 @@ def marked_lines(blocks: DataFrame, heads: DataFrame) -> DataFrame:
                 for mail, thread, upload, sent, sender, rows in frame.iloc[at : at + 200][["mail", "thread", "upload_id", "sent", "sender", "blocks"]].itertuples(index=False):
                     m = read_mail([(b["no"], b["block_id"], b["text"]) for b in rows], sender)
                     mark_structure(m)
-                    out += [(0, thread, anchor_of(p), p, sent, upload, mail) for p in patterns_of(m)]
-                    out += [(1, thread, p, "", sent, upload, mail) for p in probes_of(m)]
+                    out += [(0, thread, anchor_of(p), p, sent, upload) for p in patterns_of(m)]
+                    out += [(1, thread, k, None, sent, mail) for k in probes_of(m)]
                     for run in own_blocks(m)[-LAST_BLOCKS:]:
-                        key = block_key(run)
-                        if m.address and key:
-                            out.append((2, thread, m.address, key, sent, upload, mail))
-                            out.append((3, thread, m.address.rpartition("@")[2], key, sent, upload, mail))
-                yield pd.DataFrame(out, columns=["kind", "thread", "anchor", "pattern", "sent", "upload_id", "mail"])
+                        text = block_key(run)
+                        if m.address and text:
+                            out.append((2, thread, _key(f"{m.address}\n{text}"), text, 0, mail))
+                            out.append((3, thread, _key(f"{m.address.rpartition('@')[2]}\n{text}"), text, 0, mail))
+                yield pd.DataFrame(out, columns=["kind", "thread", "key", "pattern", "sent", "ref"])
 
-    found = mails.mapInPandas(facts, "kind int, thread bigint, anchor string, pattern string, sent bigint, upload_id bigint, mail bigint").checkpoint()
+    found = mails.mapInPandas(facts, "kind int, thread bigint, key bigint, pattern string, sent bigint, ref bigint").checkpoint()
     # Each pattern of a thread once, with its first message; only to the messages that hold its beginning.
-    patterns = found.where("kind = 0").groupBy("thread", "anchor", "pattern").agg(F.min(F.struct("sent", "upload_id")).alias("first"))
-    probes = found.where("kind = 1").select("thread", "anchor", "mail", "sent", "upload_id")
-    history = probes.join(patterns, ["thread", "anchor"]).where(F.col("first") < F.struct("sent", "upload_id"))
+    patterns = found.where("kind = 0").groupBy("thread", "key", "pattern").agg(F.min(F.struct("sent", F.col("ref").alias("upload_id"))).alias("first"))
+    probes = found.where("kind = 1").select("thread", "key", F.col("ref").alias("mail"), "sent")
+    history = probes.join(patterns, ["thread", "key"]).where(F.col("first.sent") <= F.col("sent"))
     history = history.groupBy("mail").agg(F.collect_set(F.struct("pattern", F.col("first.sent").alias("sent"), F.col("first.upload_id").alias("upload_id"))).alias("patterns"))
-    closing = found.where("kind > 1").select("kind", F.col("anchor").alias("who"), F.xxhash64("pattern").alias("key"), "pattern", "thread", "mail")
-    times = closing.groupBy("kind", "who", "key").agg(F.count_distinct("mail").alias("mails"), F.count_distinct("thread").alias("threads"))
-    often = times.where(((F.col("kind") == 2) & (F.col("mails") >= SENDER_REPEATS)) | ((F.col("kind") == 3) & (F.col("threads") >= DOMAIN_REPEATS))).select("kind", "who", "key")
-    repeated = closing.join(often, ["kind", "who", "key"]).groupBy("mail").agg(F.collect_set("pattern").alias("repeated"))
+    closing = found.where("kind > 1").select("kind", "key", "pattern", "thread", F.col("ref").alias("mail"))
+    times = closing.groupBy("kind", "key").agg(F.count_distinct("mail").alias("mails"), F.count_distinct("thread").alias("threads"))
+    often = times.where(((F.col("kind") == 2) & (F.col("mails") >= SENDER_REPEATS)) | ((F.col("kind") == 3) & (F.col("threads") >= DOMAIN_REPEATS))).select("kind", "key")
+    repeated = closing.join(often, ["kind", "key"]).groupBy("mail").agg(F.collect_set("pattern").alias("repeated"))
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        for frame in frames:
+        for frame in (f.iloc[k : k + SLICE_MAILS] for f in frames for k in range(0, len(f), SLICE_MAILS)):
             out = []
             for _, group in frame.groupby("thread", sort=False):
                 words: dict[str, tuple] = {}
@@ -491,9 +498,10 @@ def marked_lines(blocks: DataFrame, heads: DataFrame) -> DataFrame:
                     out += [(x.block_id, x.number, x.why) for x in m.lines if x.why]
             yield pd.DataFrame(out, columns=["block_id", "line_no", "why"])
 
-    # Messages of one thread come together, so that they share an automaton; a large thread is spread over tasks.
-    whole = mails.join(history, "mail", "left").join(repeated, "mail", "left")
-    spread = F.pmod(F.xxhash64("thread"), F.lit(1 << 20)) * 16 + F.pmod("mail", F.lit(16))
+    # Messages of one thread come together, so that they share an automaton; a large thread is dealt into slices.
+    sizes = mails.groupBy("thread").agg(F.ceil(F.count("*") / SLICE_MAILS).alias("slices"))
+    whole = mails.join(sizes, "thread").join(history, "mail", "left").join(repeated, "mail", "left")
+    spread = F.xxhash64("thread", F.pmod("mail", F.col("slices")))
     return whole.repartition(spread).sortWithinPartitions("thread").mapInPandas(reduce, _FOUND)
 
 

@@ -55,10 +55,10 @@ def plan_of(sized: DataFrame, targets: DataFrame) -> DataFrame:
         F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"),
         F.max(F.coalesce("total_factor", F.lit(0.0))).alias("total_factor"),
     )
-    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))
+    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
     have = sized.where("source IS NOT NULL").groupBy("source").agg(F.sum("n_tokens").alias("have"))
-    rows = wanted.join(F.broadcast(total)).join(have, wanted["source_name"] == have["source"], "left")
-    size = F.greatest(F.lit(0.0), F.col("target_share")) * F.greatest(F.lit(0.0), F.col("total_factor")) * F.col("all_tokens")
+    rows = wanted.join(have, wanted["source_name"] == have["source"], "left")
+    size = F.greatest(F.lit(0.0), F.col("target_share")) * F.greatest(F.lit(0.0), F.col("total_factor")) * F.lit(float(total))
     rows = rows.withColumn("wanted", size).withColumn("have", F.coalesce("have", F.lit(0)))
     epochs = F.when(F.col("have") > 0, F.least(F.floor(F.col("wanted") / F.col("have")), F.greatest(F.lit(0), F.col("max_repeats")).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
     rows = rows.withColumn("epochs", epochs)
