@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockmill.functions.text import byte_pieces, closing_words, column_name, tokens_estimated, trimmed
+from blockmill.operators.blocks import ANCHOR_CODES
 
 #: Heading levels that a path can hold; deeper ones count as the deepest.
 LEVELS = 9
 PATH_MARK = " › "
 SAMPLE_ROWS = 3
 
-CHUNK_COLUMNS = ["idx", "text", "source_label", "anchor_kind", "page_start", "page_end", "slide", "sheet", "cell_range", "heading_path", "token_count"]
+CHUNK_COLUMNS = ["idx", "text", "source_label", "anchor_kind", "anchor_code", "page_start", "page_end", "slide", "sheet", "cell_range", "heading_path", "token_count"]
 
 
 # ---- shared steps ----
@@ -44,7 +45,8 @@ def cut_to_max(rows: DataFrame, text: str = "text", maximum: str = "maximum", at
 def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], size: str, target: str, alone: str | None = None) -> DataFrame:
     """`rows` with `grp`: consecutive rows of a key share a group while their sizes stay within the target; a row that
     `alone` marks is a group by itself. A group holds at least one row."""
-    made = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # The window asks for the rows of a key together and in order, and shuffles only if they are not so already.
+    made = rows.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema) + ", grp int"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +67,11 @@ def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], size: str,
             frame["grp"] = pd.array(groups, dtype="int32")
             yield frame
 
-    return made.mapInPandas(run, schema)
+    return made.mapInPandas(run, schema).drop("__at")
+
+
+def _code() -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ANCHOR_CODES.items() for x in pair]), F.col("anchor_kind"))
 
 
 def _finished(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -73,7 +79,7 @@ def _finished(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     none = {"slide": F.lit(0), "sheet": F.lit(""), "cell_range": F.lit(""), "heading_path": F.array().cast("array<string>")}
     extra = {c: v for c, v in none.items() if c not in rows.columns}
-    out = rows.withColumn("idx", number).withColumns({**extra, "page_start": F.lit(0), "page_end": F.lit(0), "token_count": tokens_estimated(F.col("text"))})
+    out = rows.withColumn("idx", number).withColumns({**extra, "page_start": F.lit(0), "page_end": F.lit(0), "token_count": tokens_estimated(F.col("text")), "anchor_code": _code()})
     return out.select(*keys, *CHUNK_COLUMNS)
 
 

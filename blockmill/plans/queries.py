@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.functions.text import byte_pieces, column_name, paragraph_list, tokens_estimated, trimmed, without_quotes
@@ -46,8 +46,8 @@ def _text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("content"), F.lit("a.txt").alias("filename"), F.lit("").alias("content_type"))
 
 
-def _lines(text: F.Column = None):
-    """Lines of a text without control characters, trimmed, not empty."""
+def _lines() -> Column:
+    """Lines of the text without control characters, trimmed, not empty."""
     plain = F.regexp_replace(F.col("text"), "[\\x00-\\x09\\x0B-\\x1F\\x7F\\x{FFFE}\\x{FFFF}]", " ")
     return F.filter(F.transform(F.split(plain, "\n", -1), trimmed), lambda t: t != "")
 
@@ -232,8 +232,8 @@ BAD_DOCUMENTS = [
 
 def rejected_documents(spark, sf_dir):
     """Every region's copy of the inputs that cannot be taken, and one that can."""
-    bad = spark.createDataFrame([(n, name, kind, bytearray(data)) for n, name, kind, data in BAD_DOCUMENTS], "n int, filename string, content_type string, content binary")
-    documents = read_table(spark, sf_dir, "region").select("r_regionkey").crossJoin(F.broadcast(bad)).withColumn("doc_id", (F.col("r_regionkey") * 100 + F.col("n")).cast("bigint"))
+    bad = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(name).alias("filename"), F.lit(kind).alias("content_type"), F.lit(bytearray(data)).alias("content")) for n, name, kind, data in BAD_DOCUMENTS])
+    documents = read_table(spark, sf_dir, "region").select("r_regionkey", F.inline(bad)).withColumn("doc_id", (F.col("r_regionkey") * 100 + F.col("n")).cast("bigint"))
     return rejects(extract_documents(documents)).select("doc_id", "code")
 
 
