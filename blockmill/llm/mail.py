@@ -374,9 +374,9 @@ def anchor_of(pattern: str) -> int:
 
 
 def probes_of(mail: Mail) -> set[int]:
-    """The same for every place of the unmarked lines at which a pattern may start: after a blank."""
-    text, _ = stream_of(mail.own)
-    starts = [0, *(m.end() for m in re.finditer(r"\s", text))]
+    """The same for every place of the unmarked lines at which a line or a sentence begins."""
+    text, spans = stream_of(mail.own)
+    starts = {a for a, _ in spans} | {m.end() for m in _SENTENCE.finditer(text)}
     return {_key(text[k : k + n]) for k in starts for n in (PATTERN_CHARS, LONG_CHARS) if len(text) - k >= n}
 
 
