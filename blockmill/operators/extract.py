@@ -14,6 +14,7 @@ from blockmill.operators import plain_formats as plain
 from blockmill.operators.blocks import BLOCK_STRUCT, SHAPES, Block
 from blockmill.operators.detect import detect_format
 from blockmill.sources.archives import MAX_DOCUMENT, Rejected
+from blockmill.sources.tables import spread
 
 EXTRACTORS: dict[str, Callable[[bytes], list[Block]]] = {
     "txt": plain.text_blocks,
@@ -73,7 +74,7 @@ def extract_documents(raw: DataFrame, *, id_col: str = "doc_id", content_col: st
 
     other = good.where(~is_plain).select(*kept, "format", "content")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in other.schema if f.name not in ("format", "content"))
-    parsed = other.mapInPandas(parse, f"{fields}, format string, blocks array<{BLOCK_STRUCT}>, reject_code string, reject_message string")
+    parsed = spread(other).mapInPandas(parse, f"{fields}, format string, blocks array<{BLOCK_STRUCT}>, reject_code string, reject_message string")
     both = simple.unionByName(parsed).unionByName(rejected)
     return both.withColumnsRenamed({"__id": id_col} | {f"__keep_{c}": c for c in keep})
 

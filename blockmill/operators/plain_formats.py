@@ -344,7 +344,7 @@ def mail_blocks(data: bytes) -> list[Block]:
 # Groups that hold no text of the document, and control words that end a line.
 _RTF_SKIPPED = set("fonttbl colortbl stylesheet info pict object themedata colorschememapping latentstyles datastore generator header footer headerl headerr headerf footerl footerr footerf".split())
 _RTF_LINES = {"par", "line", "sect", "pard"}
-_RTF = re.compile(rb"\\(?:([\\{}])|(\*)|'(..)|([A-Za-z]*)(-?[0-9]*) ?)|([{}])|[\r\n]+|([^\\{}\r\n])", re.S)
+_RTF = re.compile(rb"\\(?:([\\{}])|(\*)|'(..)|([A-Za-z]*)(-?[0-9]*) ?)|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.S)
 
 
 def _rune(code: int) -> bytes:
@@ -375,14 +375,15 @@ def rtf_text(data: bytes) -> bytes:
                 groups.pop()
             skip = 0
         elif literal is not None or char is not None or pair is not None:
-            if pair is not None or char is None:
-                if skip:
-                    skip -= 1
-                    if pair is not None:
-                        group[1] = False
+            if char is not None:
+                dropped = min(skip, len(char))
+                skip, char = skip - dropped, char[dropped:]
+                if not char:
                     continue
             elif skip:
                 skip -= 1
+                if pair is not None:
+                    group[1] = False
                 continue
             if not group[0]:
                 out.append(_rune(_hex(pair)) if pair is not None else literal if literal is not None else char)

@@ -20,7 +20,7 @@ from blockmill.operators.extract import exploded_blocks, extract_documents, reje
 from blockmill.plans.pipeline import parse_documents, with_sizes
 from blockmill.sources import builders
 from blockmill.sources.frames import assemble_frames
-from blockmill.sources.tables import latest_rows, read_table
+from blockmill.sources.tables import latest_rows, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,7 +59,7 @@ def _built(parts: DataFrame, builder: Callable[[list[str]], bytes], filename: st
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "content": [builder(list(p)) for p in frame["parts"]]})
 
-    made = parts.select("doc_id", "parts").mapInPandas(run, "doc_id bigint, content binary")
+    made = spread(parts.select("doc_id", "parts")).mapInPandas(run, "doc_id bigint, content binary")
     return made.withColumns({"filename": F.lit(filename), "content_type": F.lit(content_type)})
 
 

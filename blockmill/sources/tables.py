@@ -34,3 +34,23 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
         shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="blockmill-checkpoint-"))
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, where its files are too few and too small to give every core a partition.
+
+    For stages that cost far more than moving their input. Files are counted as the scan will cut them; a frame that reads
+    no files, or enough of them, stays as it is, and nothing is run to find out.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    parts = 0
+    for name in files:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        parts += max(1, -(-path.getFileSystem(conf).getFileStatus(path).getLen() // most))
+    return df.repartition(cores) if parts < cores else df
