@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.llm.components import connected_components
-from blockmill.sources.tables import with_checkpoints
+from blockmill.sources.tables import spread, with_checkpoints
 
 THRESHOLD, SHINGLE_WORDS, LEAST_WORDS = 0.6, 3, 20
 TARGET_RECALL = 0.999
@@ -233,7 +233,7 @@ def similar_groups(rows: DataFrame, *, id_col: str = "chunk_id", text_col: str =
                         out.append((i, hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), hashes.view(np.int64), signature(hashes).tobytes()))
                 yield pd.DataFrame(out, columns=["id", "class", "hashes", "sig"])
 
-    sets = narrow.mapInPandas(shingle, "id bigint, class binary, hashes array<bigint>, sig binary").persist(StorageLevel.DISK_ONLY)
+    sets = spread(narrow).mapInPandas(shingle, "id bigint, class binary, hashes array<bigint>, sig binary").persist(StorageLevel.DISK_ONLY)
     classes = sets.groupBy("class").agg(F.min("id").alias("rep"), F.min_by(F.struct("hashes", "sig"), "id").alias("x")).select("class", "rep", "x.hashes", "x.sig").checkpoint()
     members = sets.select("id", "class").distinct().join(classes.select("class", "rep"), "class").select("id", "rep").checkpoint()
     sets.unpersist()
@@ -243,7 +243,7 @@ def similar_groups(rows: DataFrame, *, id_col: str = "chunk_id", text_col: str =
     runs = runs_needed(start + deeper, threshold, recall)
     children, levels = path_tree(runs, start + deeper, threshold)
 
-    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lay_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, COORDINATES)
             sketch = [r.tobytes() for r in (sig[:, :SKETCH] & 0xFF).astype(np.uint8)]
@@ -264,7 +264,7 @@ def similar_groups(rows: DataFrame, *, id_col: str = "chunk_id", text_col: str =
                     yield pd.DataFrame({"key": _step(keys[at], child, sig[at, c]).view(np.int64), "node": np.int32(child), "rep": part["rep"], "sketch": part["sketch"]})
 
     made = "key bigint, node int, rep bigint, sketch binary"
-    frontier = classes.select("rep", "sig").mapInPandas(spread, made)
+    frontier = classes.select("rep", "sig").mapInPandas(lay_out, made)
     candidates: DataFrame | None = None
     for level in range(start, start + deeper + 1):
         split = frontier.repartition("key").sortWithinPartitions("key").mapInPandas(lambda f: _as_rows(_buckets(f, small, threshold)), _BUCKET_SCHEMA).checkpoint()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockmill.sources.tables import with_checkpoints
+from blockmill.sources.tables import spread, with_checkpoints
 
 SPAN = 200
 #: Characters worked on at once; a longer text is taken in segments that overlap by three spans.
@@ -141,7 +141,7 @@ def _anchor_table(docs: DataFrame, span: int, all_positions: bool) -> DataFrame:
                     doc, block, right, fits, pos, first = (np.concatenate(x) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(block), pa.array(right, mask=~fits), pa.array(pos.astype(np.int32)), pa.array(first)], names=["doc", "fp", "spanned", "pos", "first"])
 
-    return docs.mapInArrow(run, "doc bigint, fp bigint, spanned bigint, pos int, first boolean")
+    return spread(docs).mapInArrow(run, "doc bigint, fp bigint, spanned bigint, pos int, first boolean")
 
 
 def _in_two(rows: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockmill.sources.tables import spread
+
 #: Characters handed to the tokenizer at once.
 GROUP_CHARS = 1 << 18
 _SAFE_CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
@@ -116,7 +118,7 @@ def encode_corpus(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], names=[id_col, "ids"])
 
     kind = narrow.schema[id_col].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(narrow).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def count_tokens(df: DataFrame, *, keep: list[str], text_col: str = "text", tokenizer_file: str | None = None, out_col: str = "n_tokens") -> DataFrame:
@@ -132,7 +134,7 @@ def count_tokens(df: DataFrame, *, keep: list[str], text_col: str = "text", toke
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sizes)], names=[*keep, out_col])
 
     kinds = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(run, f"{kinds}, `{out_col}` bigint")
+    return spread(narrow).mapInArrow(run, f"{kinds}, `{out_col}` bigint")
 
 
 def token_offsets(text: str, ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -179,4 +181,4 @@ def encode_with_offsets(df: DataFrame, *, id_col: str = "doc_id", text_col: str
                 )
 
     kind = narrow.schema[id_col].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, byte_starts array<int>, char_starts array<int>, n_bytes bigint, n_chars bigint, restored boolean")
+    return spread(narrow).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, byte_starts array<int>, char_starts array<int>, n_bytes bigint, n_chars bigint, restored boolean")
