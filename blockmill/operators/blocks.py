@@ -28,9 +28,6 @@ class Block(NamedTuple):
     sheet: str = ""
 
 
-BLOCK_STRUCT = "struct<kind:string,block_level:int,text:string,cells:array<string>,row_no:int,anchor_kind:string,slide:int,sheet:string>"
-
-
 def prose(kind: str, text: str, level: int = 0, anchor: str = SECTION) -> Block:
     return Block(kind, level, text, None, 0, anchor)
 

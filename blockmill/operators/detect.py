@@ -54,10 +54,11 @@ def hint(filename: Column, content_type: Column) -> Column:
     return F.coalesce(F.nullif(extension, F.lit("")), said)
 
 
-def detect_format(df: DataFrame, *, content_col: str = "content", filename_col: str = "filename", type_col: str = "content_type") -> DataFrame:
+def detect_format(df: DataFrame, *, content_col: str = "content", filename_col: str = "filename", type_col: str = "content_type", open_archives: bool = True) -> DataFrame:
     """`df` with `format`, `reject_code` and `reject_message`: a format, or the reason there is none.
 
-    Only rows that start as a zip go to Python. A null content counts as empty and is INVALID.
+    Only rows that start as a zip go to Python; without `open_archives` they stay 'zip' for a later stage to tell. A null
+    content counts as empty and is INVALID.
     """
     content = F.col(content_col)
     starts = lambda code: F.startswith(content, F.unhex(F.lit(code)))
@@ -68,11 +69,11 @@ def detect_format(df: DataFrame, *, content_col: str = "content", filename_col:
     found = (
         F.when(content.isNull() | (F.octet_length(content) == 0), "INVALID: empty document")
         .when(starts(OLE2), "UNSUPPORTED: legacy OLE2 binary or encrypted Office file")
-        .when(starts(ZIP), F.col("__archive"))
+        .when(starts(ZIP), F.col("__archive") if open_archives else F.lit("zip"))
         .when(starts(RTF), "rtf")
         .otherwise(kind)
     )
-    out = df.withColumn("__archive", _archive_formats(F.when(starts(ZIP), content)))
+    out = df.withColumn("__archive", _archive_formats(F.when(starts(ZIP), content))) if open_archives else df
     # The generator keeps Catalyst from repeating the whole decision wherever one of its columns is used.
     out = out.select(*df.columns, F.inline(F.array(F.struct(found.alias("__found")))))
     bad = F.contains(F.col("__found"), F.lit(": "))

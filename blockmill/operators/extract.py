@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockmill.functions.text import paragraph_list
 from blockmill.operators import office_formats as office
 from blockmill.operators import plain_formats as plain
-from blockmill.operators.blocks import BLOCK_STRUCT, SHAPES, Block
-from blockmill.operators.detect import detect_format
+from blockmill.operators.blocks import SHAPES, Block
+from blockmill.operators.detect import archive_format, detect_format
 from blockmill.sources.archives import MAX_DOCUMENT, Rejected
 from blockmill.sources.tables import spread
 
@@ -43,40 +44,79 @@ def blocks_of(format_name: str, data: bytes) -> tuple[list[Block] | None, str |
         return None, "INTERNAL", f"{type(e).__name__}: {e}"
 
 
+_RESULT = T.StructType(
+    [
+        T.StructField("format", T.StringType()),
+        T.StructField(
+            "blocks",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("kind", T.StringType()),
+                        T.StructField("block_level", T.IntegerType()),
+                        T.StructField("text", T.StringType()),
+                        T.StructField("cells", T.ArrayType(T.StringType())),
+                        T.StructField("row_no", T.IntegerType()),
+                        T.StructField("anchor_kind", T.StringType()),
+                        T.StructField("slide", T.IntegerType()),
+                        T.StructField("sheet", T.StringType()),
+                    ]
+                )
+            ),
+        ),
+        T.StructField("code", T.StringType()),
+        T.StructField("message", T.StringType()),
+    ]
+)
+
+
+def _parsed(format_name: str | None, content: bytes | None) -> tuple:
+    if format_name is None or content is None:
+        return None, None, None, None
+    data = bytes(content)
+    if format_name == "zip":
+        found = archive_format(data)
+        code, colon, message = found.partition(": ")
+        if colon:
+            return None, None, code, message
+        format_name = found
+    blocks, code, message = blocks_of(format_name, data)
+    rows = None if blocks is None else [{"kind": b.kind, "block_level": b.level, "text": b.text, "cells": b.cells, "row_no": b.row, "anchor_kind": b.anchor_kind, "slide": b.slide, "sheet": b.sheet} for b in blocks]
+    return format_name, rows, code, message
+
+
+def _parse(formats: pd.Series, contents: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_parsed(f, c) for f, c in zip(formats, contents)], columns=_RESULT.names)
+
+
+# Not deterministic by declaration: else Catalyst would run it again for a filter on its result.
+_parse_udf = F.pandas_udf(_parse, _RESULT).asNondeterministic()
+
+
 def extract_documents(raw: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", filename_col: str = "filename", type_col: str = "content_type", keep: list[str] | None = None) -> DataFrame:
     """(id_col, keep..., format, blocks array<struct>, reject_code, reject_message): one row for each document.
 
-    Documents beyond 150 MiB are INVALID and their bytes never reach Python. Well-formed plain text is split by
-    Catalyst; the other formats are parsed in Arrow batches. Rejected documents have null blocks.
+    One scan and one Python stage. Documents beyond 150 MiB are INVALID, and their bytes never reach Python. Well-formed plain text is
+    split by Catalyst, and nothing of it goes to Python either. Rejected documents have null blocks.
     """
     keep = keep or []
-    sized = raw.select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__keep_{c}") for c in keep], F.col(content_col).alias("content"), F.col(filename_col).alias("filename"), F.col(type_col).alias("content_type"))
+    sized = spread(raw).select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__keep_{c}") for c in keep], F.col(content_col).alias("content"), F.col(filename_col).alias("filename"), F.col(type_col).alias("content_type"))
     large = F.octet_length("content") > MAX_DOCUMENT
-    known = detect_format(sized.withColumn("content", F.when(~large, F.col("content"))).withColumn("__large", large))
-    known = known.withColumn("reject_message", F.when(F.col("__large"), f"document exceeds {MAX_DOCUMENT} bytes").otherwise(F.col("reject_message"))).drop("__large")
-    kept = ["__id", *[f"__keep_{c}" for c in keep]]
-    rejected = known.where("format IS NULL").select(*kept, "format", F.lit(None).cast(f"array<{BLOCK_STRUCT}>").alias("blocks"), "reject_code", "reject_message")
-    good = known.where("format IS NOT NULL")
+    known = detect_format(sized.withColumn("__large", large).withColumn("content", F.when(~large, F.col("content"))), open_archives=False)
     text = F.col("content").cast("string")
     is_plain = (F.col("format") == "txt") & F.coalesce(F.is_valid_utf8(text), F.lit(False))
     block = F.transform(paragraph_list(text), lambda p: F.struct(F.lit("Paragraph").alias("kind"), F.lit(0).alias("block_level"), p.alias("text"), F.lit(None).cast("array<string>").alias("cells"), F.lit(0).alias("row_no"), F.lit("Section").alias("anchor_kind"), F.lit(0).alias("slide"), F.lit("").alias("sheet")))
-    none = [F.lit(None).cast("string").alias("reject_code"), F.lit(None).cast("string").alias("reject_message")]
-    simple = good.where(is_plain).select(*kept, "format", block.alias("blocks"), *none)
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            results = [blocks_of(f, bytes(c)) for f, c in zip(frame["format"], frame["content"])]
-            out = frame[[*kept, "format"]].copy()
-            out["blocks"] = [None if b is None else [x._asdict() | {"block_level": x.level, "row_no": x.row} for x in b] for b, _, _ in results]
-            out["reject_code"] = [c for _, c, _ in results]
-            out["reject_message"] = [m for _, _, m in results]
-            yield out
-
-    other = good.where(~is_plain).select(*kept, "format", "content")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in other.schema if f.name not in ("format", "content"))
-    parsed = spread(other).mapInPandas(parse, f"{fields}, format string, blocks array<{BLOCK_STRUCT}>, reject_code string, reject_message string")
-    both = simple.unionByName(parsed).unionByName(rejected)
-    return both.withColumnsRenamed({"__id": id_col} | {f"__keep_{c}": c for c in keep})
+    known = known.withColumn("__plain", is_plain)
+    other = known.withColumn("__parsed", _parse_udf(F.when(~F.col("__plain"), F.col("format")), F.when(~F.col("__plain"), F.col("content"))))
+    message = F.when(F.col("__large"), f"document exceeds {MAX_DOCUMENT} bytes").otherwise(F.coalesce("reject_message", "__parsed.message"))
+    return other.select(
+        F.col("__id").alias(id_col),
+        *[F.col(f"__keep_{c}").alias(c) for c in keep],
+        F.when(F.col("__plain"), F.col("format")).otherwise(F.col("__parsed.format")).alias("format"),
+        F.when(F.col("__plain"), block).otherwise(F.col("__parsed.blocks")).alias("blocks"),
+        F.coalesce("reject_code", "__parsed.code").alias("reject_code"),
+        message.alias("reject_message"),
+    )
 
 
 def exploded_blocks(extracted: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.functions.text import byte_pieces, column_name, paragraph_list, tokens_estimated, trimmed, without_quotes
-from blockmill.operators.blocks import BLOCK_STRUCT
 from blockmill.operators.chunk import PATH_MARK, chunk_prose, chunk_sheets, chunk_slides, cut_to_max, heading_paths, sheet_rows, sheet_summaries
 from blockmill.operators.detect import detect_format
 from blockmill.operators.extract import exploded_blocks, extract_documents, rejects

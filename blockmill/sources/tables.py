@@ -26,13 +26,17 @@ def latest_rows(df: DataFrame, keys: list[str], order_col: str, keep: list[str])
     return out.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest])
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Makes sure checkpoint() has a directory: the one in spark.checkpoint.dir, and a temporary one only
     where that setting is absent (tests on one machine)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="blockmill-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark) or tempfile.mkdtemp(prefix="blockmill-checkpoint-"))
     return spark
 
 

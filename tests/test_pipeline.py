@@ -1,9 +1,7 @@
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
-from blockmill.operators.extract import extract_documents, rejects
+from blockmill.operators.extract import exploded_blocks, extract_documents, rejects
 from blockmill.plans.pipeline import parse_documents
 from blockmill.sources import builders as make
 from blockmill.sources.frames import assemble_frames, read_files
@@ -35,11 +33,15 @@ def test_rejects(spark):
     assert [(r.doc_id, r.code) for r in rejects(extract_documents(raw)).orderBy("doc_id").collect()] == [(0, "INVALID"), (1, "INVALID"), (2, "UNSUPPORTED"), (3, "INVALID")]
 
 
-def test_extraction_is_evaluated_once(spark):
-    raw = documents(spark, [("a.html", "", b"<p>x")])
-    plan = parse_documents(raw).chunks._jdf.queryExecution().optimizedPlan().toString()
-    # One parse for each of the three shapes of the union, and none twice for a filter on its result.
-    assert len(re.findall("MapInPandas parse|MapInPandas", plan)) <= 3 * 2 + 3
+def test_one_scan_and_one_parse(spark, tmp_path):
+    path = str(tmp_path / "raw.parquet")
+    documents(spark, [("a.html", "", b"<p>x")]).write.parquet(path)
+    extracted = extract_documents(spark.read.parquet(path))
+    blocks = exploded_blocks(extracted).where("kind = 'Paragraph'")
+    for frame in (blocks, rejects(extracted)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+        assert plan.count("ArrowEvalPython") == 1
 
 
 def test_frames(spark):
