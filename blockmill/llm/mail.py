@@ -75,7 +75,8 @@ _SITE = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+\.(?:example|com|org|net|de|
 _SENTENCE = re.compile(r"(?<=[.!?…。])\s+")
 _SPACES = re.compile(r"\s+")
 
-#: A block counts as a closing block if this many messages of a sender, or this many threads of a domain, end with it.
+#: A block counts as a closing block if messages of a sender, or of a domain, end with it in this many threads. (Within a
+#: thread, text recurs because it is passed on.)
 SENDER_REPEATS, DOMAIN_REPEATS = 2, 3
 #: A pattern has at least so many characters; a long one is looked up by more of them, so that few share a beginning.
 PATTERN_CHARS, LONG_CHARS = 12, 28
@@ -471,8 +472,7 @@ def marked_lines(blocks: DataFrame, heads: DataFrame) -> DataFrame:
     history = probes.join(patterns, ["thread", "key"]).where(F.col("first.sent") <= F.col("sent"))
     history = history.groupBy("mail").agg(F.collect_set(F.struct("pattern", F.col("first.sent").alias("sent"), F.col("first.upload_id").alias("upload_id"))).alias("patterns"))
     closing = found.where("kind > 1").select("kind", "key", "pattern", "thread", F.col("ref").alias("mail"))
-    times = closing.groupBy("kind", "key").agg(F.count_distinct("mail").alias("mails"), F.count_distinct("thread").alias("threads"))
-    often = times.where(((F.col("kind") == 2) & (F.col("mails") >= SENDER_REPEATS)) | ((F.col("kind") == 3) & (F.col("threads") >= DOMAIN_REPEATS))).select("kind", "key")
+    often = closing.groupBy("kind", "key").agg(F.count_distinct("thread").alias("threads")).where(F.col("threads") >= F.when(F.col("kind") == 2, SENDER_REPEATS).otherwise(DOMAIN_REPEATS)).select("kind", "key")
     repeated = closing.join(often, ["kind", "key"]).groupBy("mail").agg(F.collect_set("pattern").alias("repeated"))
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -128,7 +128,8 @@ def path_tree(runs: int, depth: int, threshold: float) -> tuple[list[list[tuple[
 
 
 def _step(keys: np.ndarray, child: int, values: np.ndarray) -> np.ndarray:
-    return _mix(keys * np.uint64(0x9E3779B97F4A7C15) + _mix(values.astype(np.uint64) + np.uint64(child) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    salt = np.uint64(child * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
+    return _mix(keys * np.uint64(0x9E3779B97F4A7C15) + _mix(values.astype(np.uint64) + salt))
 
 
 def _close(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:

@@ -102,11 +102,30 @@ SIZED_UPLOADS = """
         FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY received_at DESC) AS n FROM uploads) WHERE n = 1
     )"""
 
+SHARED_WINDOWS = """
+    WITH starts AS (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200),
+    windows AS (SELECT DISTINCT doc_id, hash(substring(text, CAST(i AS INTEGER), 200)) AS h FROM starts),
+    shared AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+    SELECT DISTINCT doc_id FROM windows SEMI JOIN shared USING (h)"""
+
+LINKED_PAIRS = """
+    WITH RECURSIVE once AS (SELECT chunk_id, max(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id),
+    words AS (SELECT chunk_id, list_filter(string_split_regex(lower(text), '[ \t\n]+'), lambda x: x <> '') AS w FROM once),
+    sets AS (SELECT chunk_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2]))) AS s FROM words WHERE len(w) >= 20),
+    sizes AS (SELECT chunk_id, count(*) AS n FROM sets GROUP BY chunk_id),
+    pairs AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.chunk_id < b.chunk_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN sizes x ON x.chunk_id = a JOIN sizes y ON y.chunk_id = b WHERE pairs.n >= 0.6 * (x.n + y.n - pairs.n)),
+    ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+    SELECT DISTINCT a AS chunk_id_a, b AS chunk_id_b FROM reach WHERE a < b"""
+
 ORACLES = {
     "p4_found": f"""
         WITH {SIZED_UPLOADS}
         SELECT DISTINCT chunk_id FROM chunks LEFT JOIN sized USING (upload_id)
         WHERE strlen(text) > coalesce(limit_bytes, 6000)""",
+    "p5_found": LINKED_PAIRS,
+    "p8_found": SHARED_WINDOWS,
     "p6_roundtrip": """
         SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, TRUE AS restored FROM documents""",
 }

@@ -52,6 +52,16 @@ def test_empty_tables(spark):
     assert mail.marked_lines(blocks, heads.where("false")).count() > 0
 
 
+def test_a_large_thread_is_dealt_into_slices(spark, monkeypatch):
+    said = [f"The crane number {n} verifies the northern gateway before noon." for n in range(40)]
+    mails = {n + 1: (BOB if n % 2 else ANN, n or None, ["Hello,", said[n], *([said[n // 2]] if n > 1 else [])]) for n in range(40)}
+    blocks, heads = tables(spark, mails)
+    whole = {tuple(r) for r in mail.marked_lines(blocks, heads).collect()}
+    assert {(b, n) for b, n, _ in whole} == {((n + 1) * 100 + 3, 1) for n in range(2, 40)}
+    monkeypatch.setattr(mail, "SLICE_MAILS", 7)
+    assert {tuple(r) for r in mail.marked_lines(blocks, heads).collect()} == whole
+
+
 def own(text, sender=ANN):
     m = mail.read_mail([(1, 1, text)], sender)
     mail.mark_structure(m)

@@ -84,6 +84,12 @@ def test_pairs_and_empty_tables(spark):
     assert neardup.similar_groups(df.where("false")).count() == 0
 
 
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = corpus(11, 30)
+    copies = [(1000 + n, rows[0][1]) for n in range(len(rows) // 2)]
+    assert groups(spark, rows + copies) == brute(rows + copies)
+
+
 def test_very_long_text(spark):
     rng = random.Random(3)
     text = " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(60_000))
