@@ -315,6 +315,9 @@ def _tail_block(block: list[Line], mail: Mail, repeated: set[str], before: list[
         return True
     if len(_LEGAL.findall(whole)) > 1 or (_LEGAL.search(whole) and len(texts) == 1 and len(whole) < 140 and (block_key(block) in repeated or _LEGAL.match(whole) or re.search("paper|print|environment|drucken|imprim", whole, re.I))):
         return True
+    firm = mail.address.rpartition("@")[2].split(".")[0].replace("-", " ")
+    if firm and len(whole) < 400 and _LEGAL.search(whole) and firm in whole.lower():
+        return True
     if all(_note(t) or _LINE.fullmatch(t) for t in texts):
         return True
     good = 0
