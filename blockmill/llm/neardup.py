@@ -32,9 +32,10 @@ from blockmill.sources.tables import spread, with_checkpoints
 
 THRESHOLD, SHINGLE_WORDS, LEAST_WORDS = 0.6, 3, 20
 TARGET_RECALL = 0.999
-COORDINATES, SKETCH = 128, 64
+COORDINATES, SKETCH = 128, 32
 SMALL, DEEPER = 64, 3
-#: How much a sketch may understate the likeness: four standard deviations of its estimate.
+#: A sketch holds four bits of each of 2 * SKETCH coordinates. It may understate the likeness by this much: four standard
+#: deviations of its estimate.
 SKETCH_SLACK = 0.25
 _SPACE = re.compile("[ \t\n]+")
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -132,11 +133,24 @@ def _step(keys: np.ndarray, child: int, values: np.ndarray) -> np.ndarray:
     return _mix(keys * np.uint64(0x9E3779B97F4A7C15) + _mix(values.astype(np.uint64) + salt))
 
 
+def _sketches(sig: np.ndarray) -> list[bytes]:
+    low = (sig[:, : 2 * SKETCH] & 15).astype(np.uint8)
+    return [r.tobytes() for r in low[:, :SKETCH] << 4 | low[:, SKETCH:]]
+
+
+def _near(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of sketches may be those of sets at the threshold. Two sets agree on four bits of a coordinate by chance
+    in one case of sixteen."""
+    apart = a ^ b
+    same = ((apart & 0xF0) == 0).sum(axis=-1) + ((apart & 0x0F) == 0).sum(axis=-1)
+    return same >= 2 * SKETCH * (threshold + (1 - threshold) / 16 - SKETCH_SLACK)
+
+
 def _close(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     out = np.zeros(len(i), bool)
     for at in range(0, len(i), 1 << 16):
         s = slice(at, at + (1 << 16))
-        out[s] = (sketches[i[s]] == sketches[j[s]]).mean(axis=1) >= threshold - SKETCH_SLACK
+        out[s] = _near(sketches[i[s]], sketches[j[s]], threshold)
     return out
 
 
@@ -247,7 +261,7 @@ def similar_groups(rows: DataFrame, *, id_col: str = "chunk_id", text_col: str =
     def lay_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, COORDINATES)
-            sketch = [r.tobytes() for r in (sig[:, :SKETCH] & 0xFF).astype(np.uint8)]
+            sketch = _sketches(sig)
             keys = {node: np.full(len(frame), node + 1, np.uint64) for node in levels[0]}
             for level in range(start):
                 keys = {child: _step(keys[node], child, sig[:, c]) for node in levels[level] for c, child in children[node]}
@@ -306,7 +320,7 @@ def _dense(frontier: DataFrame, classes: DataFrame, threshold: float, small: int
             out = []
             for rep, sketch, held in zip(frame["rep"], frame["sketch"], frame["held"]):
                 others = np.frombuffer(b"".join(bytes(x["sketch"]) for x in held), np.uint8).reshape(-1, SKETCH)
-                near = (others == np.frombuffer(sketch, np.uint8)[None, :]).mean(axis=1) >= threshold - SKETCH_SLACK
+                near = _near(others, np.frombuffer(sketch, np.uint8)[None, :], threshold)
                 out += [(min(rep, held[k]["rep"]), max(rep, held[k]["rep"])) for k in np.flatnonzero(near) if held[k]["rep"] != rep]
             yield pd.DataFrame(out, columns=["a", "b"])
 
