@@ -84,13 +84,13 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The minimum hash at each coordinate, as 32 bits."""
+    """The minimum hash at each coordinate, as 32 bits. The hashes are mixed already, so a multiplication orders them anew."""
     mult, add = _seeds()
     best = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 4096):
         h = hashes[at : at + 4096, None] * mult[None, :] + add[None, :]
-        best = np.minimum(best, _mix(h).min(axis=0))
-    return (best >> np.uint64(32)).astype(np.uint32)
+        best = np.minimum(best, h.min(axis=0))
+    return (_mix(best) >> np.uint64(32)).astype(np.uint32)
 
 
 # ---- the tree of sampled coordinates ----
