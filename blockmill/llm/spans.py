@@ -82,8 +82,9 @@ def _segments(text: str, halo: int) -> Iterator[tuple[int, int, int, str]]:
         yield lo, start, min(n, start + SEGMENT), text[lo:hi]
 
 
-def anchors(text: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, hash of the block, hash of the span from there, whether it fits) of each anchor."""
+def anchors(text: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, hash of the block, hash of the span from there, whether it fits, hash of the span that ends with the
+    block, or the position where that does not fit) of each anchor."""
     block = span // 2
     width = span - block + 1
     found = []
@@ -99,9 +100,12 @@ def anchors(text: str, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         fits = chosen + span <= len(part)
         right = np.zeros(len(chosen), np.uint64)
         right[fits] = _windows(sums, span, chosen[fits])
-        found.append((chosen + offset, h[chosen], right, fits))
+        start = chosen + block - span
+        left = (chosen + offset).astype(np.uint64)
+        left[start >= 0] = _windows(sums, span, start[start >= 0])
+        found.append((chosen + offset, h[chosen], right, fits, left))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -122,7 +126,8 @@ def spans_around(text: str, positions: np.ndarray, span: int) -> tuple[np.ndarra
 
 
 def _anchor_table(docs: DataFrame, span: int, all_positions: bool) -> DataFrame:
-    """(doc, fp, spanned, pos, first) of the anchors; without all positions only one for each equal pair of hashes."""
+    """(doc, fp, spanned, pos, first) of the anchors; without all positions only one of those with
+    equal text on both sides, as far as a span that holds the block can reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,9 +135,9 @@ def _anchor_table(docs: DataFrame, span: int, all_positions: bool) -> DataFrame:
                 part = batch.slice(k, 256)
                 rows = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    pos, block, right, fits = anchors(text, span)
+                    pos, block, right, fits, left = anchors(text, span)
                     if not all_positions and len(pos):
-                        keep = np.unique(np.stack([block, right]), axis=1, return_index=True)[1]
+                        keep = np.unique(np.stack([block, np.where(fits, right, pos.astype(np.uint64)), left]), axis=1, return_index=True)[1]
                         pos, block, right, fits = pos[keep], block[keep], right[keep], fits[keep]
                     first = np.zeros(len(pos), bool)
                     first[np.unique(block, return_index=True)[1]] = True

@@ -71,6 +71,19 @@ def test_nulls_repeats_and_own_repetitions(spark):
     assert spans.documents_with_shared_spans(frame(spark, [])).count() == 0
 
 
+def test_a_repeated_text_counts_with_the_context_of_each_copy(spark):
+    rng = random.Random(10)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    docs = []
+    for n in range(30):
+        twice, before, p = line(500), line(150), 20 + 2 * n
+        docs.append((2 * n, line(150) + twice + before + twice + line(50)))
+        docs.append((2 * n + 1, line(90) + "1" + before[-p:] + twice[: 200 - p] + "2" + line(90)))
+    want = brute(docs, 200)
+    assert len(want) == 60
+    assert {r.doc_id for r in spans.documents_with_shared_spans(frame(spark, docs)).collect()} == set(want)
+
+
 def test_segments_of_long_texts_choose_the_same_anchors(monkeypatch):
     rng = random.Random(8)
     text = "".join(rng.choice("abcdefgh ") for _ in range(5000))
