@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -276,7 +276,22 @@ def own_blocks(mail: Mail) -> list[list[Line]]:
     return out
 
 
-def mark_closings(mail: Mail, repeated: set[str]) -> None:
+class Repeated:
+    """The block keys that a mail's sender, or the sender's domain, closes messages with, held as hashes."""
+
+    def __init__(self, address: str, keys: Iterable[int]):
+        self.address, self.keys = address, set(keys)
+
+    def __contains__(self, text: str) -> bool:
+        return bool(self.keys) and any(k in self.keys for _, k in closing_keys(self.address, text))
+
+
+def closing_keys(address: str, text: str) -> list[tuple[int, int]]:
+    """(kind, hash) of a block of the sender (2) and of the sender's domain (3)."""
+    return [(2, _key(f"{address}\n{text}")), (3, _key(f"{address.rpartition('@')[2]}\n{text}"))]
+
+
+def mark_closings(mail: Mail, repeated: Container[str]) -> None:
     """Marks closing formula and name, signature, and device, list and legal notes. `repeated` holds the keys of
     blocks that the sender or the sender's domain closes messages with."""
     runs = own_blocks(mail)
@@ -308,7 +323,7 @@ def mark_closings(mail: Mail, repeated: set[str]) -> None:
             break
 
 
-def _tail_block(block: list[Line], mail: Mail, repeated: set[str], before: list[Line] | None) -> bool:
+def _tail_block(block: list[Line], mail: Mail, repeated: Container[str], before: list[Line] | None) -> bool:
     texts = [x.bare for x in block]
     whole = " ".join(texts)
     if block_key(block) in repeated and not _GREET.fullmatch(texts[0]) and (before is not None and whole.count(" ") > 5 or any(_closing(t) or _is_name(t, mail) or _is_card(t, mail) or _note(t) or _LEGAL.search(t) for t in texts)):
@@ -402,20 +417,27 @@ def mark_repeated(mail: Mail, automaton, stamp: tuple) -> None:
             x.why = "repeated"
 
 
-def reduce_mail(mail: Mail, automaton, known: set[str], stamp: tuple, repeated: set[str]) -> Mail:
+def reduce_mail(mail: Mail, automaton, known: set[str], stamp: tuple, repeated: Container[str]) -> Mail:
     """Every line of the mail marked, but for those its sender newly wrote."""
     mark_indented(mail, known)
     mark_closings(mail, repeated)  # before the history, which would part a closing block that it knows in part
+    runs = [run for run in own_blocks(mail) if block_key(run) in repeated]
     mark_repeated(mail, automaton, stamp)
+    # A closing block that stood above passed-on text, and is known in part, is judged whole.
+    parted = [x for run in runs if not all(x.why for x in run) for x in run if x.why]
+    for x in parted:
+        x.why = ""
     mark_closings(mail, repeated)
+    if left := [x for x in parted if not x.why]:
+        for x in left:
+            x.why = "repeated"
+        mark_closings(mail, repeated)
     return mail
 
 
 # ---- over DataFrames ----
 
 _SUBJECT_PREFIX = r"^(\s*(re|aw|fwd?|wg|tr|rv|sv|antw|enc|odp)\s*(\[\d+\])?:\s*)+"
-#: Blocks at the end of a message that are counted as possible closing blocks.
-LAST_BLOCKS = 6
 
 
 def mail_threads(heads: DataFrame) -> DataFrame:
@@ -452,7 +474,8 @@ def marked_lines(blocks: DataFrame, heads: DataFrame) -> DataFrame:
     mails = bodies.join(known, "upload_id", "left").select("mail", F.coalesce("thread", "mail").alias("thread"), F.coalesce("upload_id", F.lit(0)).alias("upload_id"), F.coalesce("sent", F.lit(1 << 62)).alias("sent"), "sender", "blocks").checkpoint()
 
     def facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Patterns (kind 0), probes (1) and possible closing blocks of the sender (2) and of the domain (3)."""
+        """Patterns (kind 0), probes (1) and possible closing blocks of the sender (2) and of the domain (3). Every
+        unmarked run is one: which of them end the sender's own text shows only when the history is gone."""
         for frame in frames:
             for at in range(0, len(frame), 200):
                 out = []
@@ -461,11 +484,8 @@ def marked_lines(blocks: DataFrame, heads: DataFrame) -> DataFrame:
                     mark_structure(m)
                     out += [(0, thread, anchor_of(p), p, sent, upload) for p in patterns_of(m)]
                     out += [(1, thread, k, None, sent, mail) for k in probes_of(m)]
-                    for run in own_blocks(m)[-LAST_BLOCKS:]:
-                        text = block_key(run)
-                        if m.address and text:
-                            out.append((2, thread, _key(f"{m.address}\n{text}"), text, 0, mail))
-                            out.append((3, thread, _key(f"{m.address.rpartition('@')[2]}\n{text}"), text, 0, mail))
+                    texts = {block_key(run) for run in own_blocks(m)} - {""} if m.address else ()
+                    out += [(kind, thread, k, None, 0, mail) for text in texts for kind, k in closing_keys(m.address, text)]
                 yield pd.DataFrame(out, columns=["kind", "thread", "key", "pattern", "sent", "ref"])
 
     found = mails.mapInPandas(facts, "kind int, thread bigint, key bigint, pattern string, sent bigint, ref bigint").checkpoint()
@@ -474,9 +494,9 @@ def marked_lines(blocks: DataFrame, heads: DataFrame) -> DataFrame:
     probes = found.where("kind = 1").select("thread", "key", F.col("ref").alias("mail"), "sent")
     history = probes.join(patterns, ["thread", "key"]).where(F.col("first.sent") <= F.col("sent"))
     history = history.groupBy("mail").agg(F.collect_set(F.struct("pattern", F.col("first.sent").alias("sent"), F.col("first.upload_id").alias("upload_id"))).alias("patterns"))
-    closing = found.where("kind > 1").select("kind", "key", "pattern", "thread", F.col("ref").alias("mail"))
+    closing = found.where("kind > 1").select("kind", "key", "thread", F.col("ref").alias("mail"))
     often = closing.groupBy("kind", "key").agg(F.count_distinct("thread").alias("threads")).where(F.col("threads") >= F.when(F.col("kind") == 2, SENDER_REPEATS).otherwise(DOMAIN_REPEATS)).select("kind", "key")
-    repeated = closing.join(often, ["kind", "key"]).groupBy("mail").agg(F.collect_set("pattern").alias("repeated"))
+    repeated = closing.join(often, ["kind", "key"]).groupBy("mail").agg(F.collect_set("key").alias("repeated"))
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -497,7 +517,7 @@ def marked_lines(blocks: DataFrame, heads: DataFrame) -> DataFrame:
                 for upload, sent, sender, rows, often in group[["upload_id", "sent", "sender", "blocks", "repeated"]].itertuples(index=False):
                     m = read_mail([(b["no"], b["block_id"], b["text"]) for b in rows], sender)
                     mark_structure(m)
-                    reduce_mail(m, automaton, {w for w, first in words.items() if first < (sent, upload)}, (sent, upload), set(often) if often is not None else set())
+                    reduce_mail(m, automaton, {w for w, first in words.items() if first < (sent, upload)}, (sent, upload), Repeated(m.address, often if often is not None else ()))
                     out += [(x.block_id, x.number, x.why) for x in m.lines if x.why]
             yield pd.DataFrame(out, columns=["block_id", "line_no", "why"])
 

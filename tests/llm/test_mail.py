@@ -62,6 +62,23 @@ def test_a_large_thread_is_dealt_into_slices(spark, monkeypatch):
     assert {tuple(r) for r in mail.marked_lines(blocks, heads).collect()} == whole
 
 
+def test_a_closing_block_above_passed_on_text_of_any_length(spark):
+    motto, firm = "Turn the wheels of the northern halls with care", "North freight keeps every wheel of the halls in motion"
+    mails = []
+    for t in (0, 10):
+        said = [f"In thread {t} the crane number {n} verifies the northern gateway before noon." for n in range(9)]
+        mails.append((t + 1, None, f"gate {t}", BOB, ["Hi Ann,", *said, firm]))
+        mails.append((t + 2, t + 1, f"Re: gate {t}", ANN, ["Hi Bob,", f"Crane {t} is greased now.", motto, *said]))
+        mails.append((t + 3, t + 2, f"Re: gate {t}", ANN, ["Hi Bob,", f"Crane {t} is painted now.", f"So long then\n{firm}", *said]))
+    blocks = [(u * 100 + n, u, n, x, "Email", DAY, "") for u, _, _, _, texts in mails for n, x in enumerate(texts, 1)]
+    heads = [(u, f"<{u}>", r and f"<{r}>", subject, who, DAY + datetime.timedelta(days=u)) for u, r, subject, who, _ in mails]
+    gone = {(r.block_id, r.line_no) for r in mail.marked_lines(spark.createDataFrame(blocks, BLOCKS), spark.createDataFrame(heads, HEADS)).collect()}
+    for u in (2, 12):
+        assert {(b, k) for b, k in gone if b // 100 == u} == {(u * 100 + n, 1) for n in range(3, 13)}
+    for u in (3, 13):
+        assert {(b, k) for b, k in gone if b // 100 == u} == {(u * 100 + n, 1) for n in range(3, 13)} | {(u * 100 + 3, 2)}
+
+
 def own(text, sender=ANN):
     m = mail.read_mail([(1, 1, text)], sender)
     mail.mark_structure(m)
