@@ -197,6 +197,60 @@ def _decode_east(word: str, read_as: str, written_in: str) -> str | None:
     return out if changed else None
 
 
+# ---- records whose words all are of another script ----
+
+#: Encodings of a script other than Latin, its letters, and those of them that make up most of a text.
+_SCRIPTS = (
+    (("cp1251", "koi8_r", "iso8859_5", "cp866"), re.compile("[Ѐ-џҐґ]+"), set("оеаинтсрвлі")),
+    (("cp1253", "iso8859_7"), re.compile("[Ά-ώ]+"), set("αοιετσςνηάέίό")),
+)
+#: So many different words, of which that share has a sound reading, of so many different letters and so great a share of
+#: common ones, are proof.
+SCRIPT_WORDS, SCRIPT_SHARE, SCRIPT_LETTERS, SCRIPT_COMMON = 3, 0.8, 5, 0.5
+_NO_LETTER = re.compile("[\\x00-@\\[-`{-\x7f\xa0‘’“”„«»…–—№°]+")
+
+
+@lru_cache(maxsize=1 << 16)
+def _core(word: str) -> str:
+    """The word without signs that a text of any script may hold; empty if it holds letters of ASCII."""
+    core = _NO_LETTER.sub("", word)
+    return "" if any(c.isascii() for c in core) else core
+
+
+@lru_cache(maxsize=1 << 16)
+def _scriptless(word: str) -> bool:
+    """Whether a word is of a sort that no language writes: three or more characters, all of them accented Latin
+    letters, or letters of several scripts, or such and signs."""
+    core = _core(word)
+    return len(core) > 2 and any(c.isalpha() for c in core) and not _EAST.search(core) and not any(letters.fullmatch(core) for _, letters, _ in _SCRIPTS) and not any(0x530 <= ord(c) < 0x1E00 for c in core)
+
+
+def _script_readings(words: list[str]) -> dict[str, str]:
+    """Readings of the words of a record, if its words of no script are, read one and the same way, words of one."""
+    odd = [w for w in words if _scriptless(w)]
+    if len(odd) < SCRIPT_WORDS:
+        return {}
+    best, joined = (0.0, None), "\n".join(odd)
+    for read_as in SINGLE:
+        for written_in, letters, common in ((e, *rest) for encodings, *rest in _SCRIPTS for e in encodings if e != read_as):
+            cores = [_core(o) if _BAD not in o else "" for o in joined.translate(_translation(read_as, written_in)).split("\n")]
+            sound = [c for c in cores if letters.fullmatch(c) and (c[1:].islower() or c.isupper())]
+            if len(sound) >= max(SCRIPT_WORDS, SCRIPT_SHARE * len(odd)):
+                text = "".join(sound).lower()
+                share = sum(c in common for c in text) / len(text)
+                if share >= SCRIPT_COMMON and len(set(text)) >= SCRIPT_LETTERS and share + len(sound) / len(odd) > best[0]:
+                    best = (share + len(sound) / len(odd), (read_as, written_in, letters))
+    if best[1] is None:
+        return {}
+    table, letters = _translation(*best[1][:2]), best[1][2]
+    # A single letter may be a word of another language, if the record holds accented words of one.
+    least = 2 if any(not _core(w) and _LATIN.search(w) for w in words) else 1
+    out = {w: w.translate(table) for w in words if len(_core(w)) >= least and any(c.isalpha() for c in w)}
+    return {w: o for w, o in out.items() if _BAD not in o and letters.fullmatch(_core(o))}
+
+
+_LATIN = re.compile("[À-ɏ]")
+
 # ---- the character model ----
 
 _CLASSES = np.zeros(0x110000, np.uint8)
@@ -268,17 +322,18 @@ def _features(points: np.ndarray):
     return inside, (_slot(1, a, b, c), _slot(2, a, b), _slot(3, x, y, z), _slot(4, x, y), _slot(5, c), _slot(6, z))
 
 
-def _count_words(words: dict[str, int]) -> np.ndarray:
-    counts = np.zeros(2 * SLOTS, np.int64)
+def _count_words(words: dict[str, list[int]]) -> np.ndarray:
+    counts = np.zeros((2, 2 * SLOTS), np.int64)
     if words:
         points, of = _laid_out(list(words))
-        each = np.fromiter(words.values(), np.int64, len(words))
-        weight = each[of[2:]]
         inside, slots = _features(points)
-        for row in (s for pair in slots for s in pair):
-            counts += np.bincount(row[inside], weights=weight[inside], minlength=2 * SLOTS).astype(np.int64)
-        for row in _word_slots(list(words)):
-            counts += np.bincount(row, weights=each, minlength=2 * SLOTS).astype(np.int64)
+        word_slots = _word_slots(list(words))
+        for k, each in enumerate(np.array(list(words.values()), np.int64).T):
+            weight = each[of[2:]][inside]
+            for row in (s for pair in slots for s in pair):
+                counts[k] += np.bincount(row[inside], weights=weight, minlength=2 * SLOTS).astype(np.int64)
+            for row in word_slots:
+                counts[k] += np.bincount(row, weights=each, minlength=2 * SLOTS).astype(np.int64)
     return counts
 
 
@@ -293,27 +348,32 @@ def words_of(text: str) -> list[str]:
 
 
 def character_model(texts: DataFrame) -> np.ndarray:
-    """Counts over all words beyond ASCII in the column `text`: 2 * SLOTS numbers, whatever the size of the corpus."""
+    """Counts over all words beyond ASCII in the column `text`: two rows of 2 * SLOTS numbers, whatever the
+    size of the corpus. In the first row, copies of a text count by their logarithm, or a garbled one that stands in very
+    many rows would pass for normal; in the second, each row counts."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(2 * SLOTS, np.int64)
-        seen: dict[str, int] = {}
+        counts = np.zeros((2, 2 * SLOTS), np.int64)
+        seen: dict[str, list[int]] = {}
         for frame in frames:
-            for text in frame["text"]:
+            for text, copies in zip(frame["text"], frame["copies"]):
+                copies = int(copies)
                 for w in words_of(text):
                     w = w[:COUNTED_CHARS]
-                    seen[w] = seen.get(w, 0) + 1
+                    held = seen.setdefault(w, [0, 0])
+                    held[0] += copies.bit_length()
+                    held[1] += copies
             if len(seen) > 100_000:
                 counts += _count_words(seen)
                 seen = {}
         counts += _count_words(seen)
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"slot": at, "n": counts[at]})
+        at = np.flatnonzero(counts[1])
+        yield pd.DataFrame({"slot": at, "few": counts[0, at], "n": counts[1, at]})
 
-    parts = texts.mapInPandas(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    parts = texts.groupBy("text").agg(F.count("*").alias("copies")).mapInPandas(count, "slot bigint, few bigint, n bigint").groupBy("slot").agg(F.sum("few").alias("few"), F.sum("n").alias("n"))
     frame = parts.toPandas()  # at most 2 * SLOTS rows
-    model = np.zeros(2 * SLOTS, np.float32)
-    model[frame["slot"].to_numpy(np.int64)] = frame["n"].to_numpy(np.float32)
+    model = np.zeros((2, 2 * SLOTS), np.float32)
+    model[:, frame["slot"].to_numpy(np.int64)] = frame[["few", "n"]].to_numpy(np.float32).T
     return model
 
 
@@ -325,7 +385,7 @@ class Reader:
         self.verdicts: dict[str, tuple[str, bool] | None] = {}
 
     def _counts(self, slots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        return np.minimum(self.model[slots[0]], self.model[slots[1]])
+        return np.minimum(self.model[:, slots[0]], self.model[:, slots[1]])
 
     def _scores(self, words: list[str]) -> np.ndarray:
         points, of = _laid_out(words)
@@ -334,7 +394,7 @@ class Reader:
         within = (one + 0.05) / (cone + 5.0)
         general = (ctri + 0.02) / (cpair + 2.0) * within
         p = np.clip((tri + 4.0 * general) / (pair + 4.0), 1e-12, 1.0)
-        return np.bincount(of[2:], weights=np.where(inside, np.log(p), 0.0), minlength=len(words))
+        return np.stack([np.bincount(of[2:], weights=np.where(inside, x, 0.0), minlength=len(words)) for x in np.log(p)])
 
     def _candidates(self, words: list[str]) -> list[list[tuple[str, float]]]:
         """For each word, other readings and the gain each must show."""
@@ -381,24 +441,29 @@ class Reader:
             forms = [current[w] for w in todo]
             options = self._candidates(forms)
             flat = [o for opts in options for o, _ in opts]
-            known = self._counts(_word_slots([o[:COUNTED_CHARS] for o in flat])) if flat else []
+            known = self._counts(_word_slots([o[:COUNTED_CHARS] for o in flat])) if flat else np.zeros((2, 0))
             own_known = self._counts(_word_slots([f[:COUNTED_CHARS] for f in forms]))
-            base, scores, at = self._scores(forms), self._scores(flat) if flat else [], 0
+            base, scores, at = self._scores(forms), self._scores(flat) if flat else np.zeros((2, 0)), 0
             following = {}
-            for w, opts, own, times in zip(todo, options, base, own_known):
+            for k, (w, opts) in enumerate(zip(todo, options)):
                 best = None
-                for other, need in opts:
-                    gain, seen = scores[at] - own, known[at]
-                    at += 1
-                    # A word without any trait of garbling is one only if what it was is known, and not much rarer.
-                    if need == GAIN_SINGLE and seen < max(1.0, times / RARER):
-                        continue
-                    if gain >= need and (best is None or (need < -50, gain) > best[0]):
-                        best = ((need < -50, gain), other, need)
+                # A word that one row of the model lets pass may be one by the other; signs alone go by the first.
+                rows = [1, 0] if any(c.isalpha() for c in forms[k]) else [0]
+                for row in rows:
+                    for n, (other, need) in enumerate(opts, at):
+                        gain, seen = scores[row, n] - base[row, k], known[row, n]
+                        # A word without any trait of garbling is one only if what it was is known, and not much rarer.
+                        if need == GAIN_SINGLE and seen < max(1.0, own_known[row, k] / RARER):
+                            continue
+                        if gain >= need and (best is None or (need < -50, gain) > best[0]):
+                            best = ((need < -50, gain), other, need, max(scores[r, n] - base[r, k] for r in rows))
+                    if best:
+                        break
+                at += len(opts)
                 if best:
                     earlier = self.verdicts[w]
                     letters = sum(c.isalpha() for c in best[1])
-                    shorter, gain = len(best[1]) < len(w), best[0][1]  # shorter: a span of bytes, not a word read otherwise
+                    shorter, gain = len(best[1]) < len(w), best[3]  # shorter: a span of bytes, not a word read otherwise
                     alone = best[2] < 0 or best[2] == GAIN_ODD and letters >= LETTERS_ALONE or shorter and gain >= GAIN_ALONE / 2 or (letters >= LETTERS_ALONE or shorter) and (gain >= GAIN_ALONE or len(w) > LETTERS_ALONE)
                     self.verdicts[w] = (best[1], alone or bool(earlier and earlier[1]))
                     following[w] = best[1]
@@ -409,8 +474,11 @@ class Reader:
         lost, spelled = lost_characters(text), 0
         if "&#" in text:
             text, spelled = _decode_references(text)
-        found = [v for w in words_of(text) if (v := self.verdicts.get(w))]
-        if not lost and not spelled and not any(alone for _, alone in found) and len({o for o, _ in found}) < 2:
+        words = list(dict.fromkeys(words_of(text)))
+        found = [v for w in words if (v := self.verdicts.get(w))]
+        # Words without a verdict; in them, what a whole record shows stands in for knowing their originals.
+        script = _script_readings([w for w in words if not (v := self.verdicts.get(w)) or len(v[0]) == len(w)])
+        if not lost and not spelled and not script and not any(alone for _, alone in found) and len({o for o, _ in found}) < 2:
             return text, 0, 0
         changed = spelled
 
@@ -420,7 +488,7 @@ class Reader:
             if w.isascii():
                 return w
             parts = [w[k : k + WORD_CHARS] for k in range(0, len(w), WORD_CHARS)]
-            out = [(self.verdicts.get(p) or (p,))[0] for p in parts]
+            out = [script.get(p) or (self.verdicts.get(p) or (p,))[0] for p in parts]
             changed += out != parts
             return "".join(out)
 

@@ -47,6 +47,28 @@ def test_lost_characters_are_cases(found):
     assert found["lost", 0].lost == 1 and found["lost", 0].restored == "M�dchen"
 
 
+def test_a_garbled_text_in_very_many_rows_is_found(spark):
+    bad = "später geprüft Größe".encode("cp1252").decode("cp850")
+    rows = [("clean", n, f"{n} {CLEAN[0]}") for n in range(300)] + [("bad", n, bad) for n in range(1500)]
+    got = encodings.find_garbled(spark.createDataFrame(rows, "rec string, rec_id bigint, text string")).collect()
+    assert {(r.rec, r.rec_id) for r in got} == {("bad", n) for n in range(1500)}
+    assert {r.restored for r in got} == {"später geprüft Größe"}
+
+
+def test_a_language_that_stands_nowhere_intact_is_found(spark):
+    texts = ["Заказ на склад: поставка завтра утром, договор и отчёт после проверки.", "Η παραγγελία του πελάτη είναι στο τραπέζι κάθε εβδομάδα."]
+    rows = [("clean", n, t) for n, t in enumerate(x for x in CLEAN if not any("Ͱ" <= c <= "ӿ" for c in x))]
+    rows += [("bad", n, f"{n} {texts[0]}".encode("cp1251").decode("cp1252")) for n in range(50)]
+    rows += [("greek", n, f"{n} {texts[1]}".encode("cp1253").decode("cp1252")) for n in range(50)]
+    got = {(r.rec, r.rec_id): r.restored for r in encodings.find_garbled(spark.createDataFrame(rows, "rec string, rec_id bigint, text string")).collect()}
+    assert got == {("bad", n): f"{n} {texts[0]}" for n in range(50)} | {("greek", n): f"{n} {texts[1]}" for n in range(50)}
+
+
+def test_tables_signs_and_rare_scripts_are_of_no_other_script():
+    for text in ("╔═══╗ ║ ╚═══╝ ╠═══╣ ═══ ════ ├──┼──┤ └──┘ ┌──┐", "→→→ •••• ★★★ ∑≤∞ ±²³ 🔥🔥🔥", "ÄÖÜ äöüß éèê", "Դուրս եկավ տուն", "שלום עולם טוב", "ǃÀó ưở đã được nướng", *CLEAN):
+        assert encodings._script_readings(list(dict.fromkeys(encodings.words_of(text)))) == {}
+
+
 def test_automaton_takes_maximal_spans_only():
     assert encodings._decode_spans("x" + "é".encode().decode("cp1252") + "ç", "cp1252") == "xéç"
     assert encodings._decode_spans("façade Ã", "cp1252") is None
