@@ -80,7 +80,7 @@ def boundaries(data: bytes, base: int, lo: int, hi: int, cell: int) -> list[tupl
 
 def walk(table: list[tuple[int, int]], total: int, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of each piece. Of the boundaries in the later half of what a piece may hold, the strongest
-    is taken, the last of equals. A start may lie inside a character; the reader moves it on to the next one."""
+    is taken, the last of equals; where there is none between words, the strongest before it. A start may lie inside a character; the reader moves it on to the next one."""
     if total <= limit:
         return [(0, total)]
     offsets = [at for at, _ in table]
@@ -93,7 +93,10 @@ def walk(table: list[tuple[int, int]], total: int, limit: int, overlap: int) ->
         if i == j:  # no boundary in the later half: the last one that adds something, else the next one at all
             i = bisect_left(offsets, new + 1)
             i, j = (j - 1, j) if i < j else (i, i + 1)
-        end = max(table[i:j], key=lambda x: (x[1], x[0]), default=(total, 0))[0]
+        end, strength = max(table[i:j], key=lambda x: (x[1], x[0]), default=(total, CHARACTER))
+        if strength == CHARACTER:  # no pause there: the strongest one before, if any
+            early = table[bisect_left(offsets, max(new, overlap) + 1) : i]
+            end = max((x for x in early if x[1] > CHARACTER), key=lambda x: (x[1], x[0]), default=(end, strength))[0]
         out.append((start, end))
         start = end - overlap
         if end >= total:

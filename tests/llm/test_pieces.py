@@ -37,6 +37,13 @@ def test_cuts_fall_where_the_text_pauses():
     assert all(p[-1] in " \n." for p in parts)
 
 
+def test_an_unbroken_run_is_cut_off_at_the_pause_before_it():
+    text = "One sentence here. Then a key follows: " + "x" * 300
+    parts = [p for _, _, p in pieces.split_text(text, 100, 0)]
+    assert parts == ["One sentence here. ", "Then a key follows: ", *parts[2:]] and set("".join(parts[2:])) == {"x"}
+    check(text, 100, 10, pieces.split_text(text, 100, 10))
+
+
 def test_limits_below_a_character():
     assert [p for _, _, p in pieces.split_text("🎉é", 1, 0)] == ["🎉", "é"]
     assert "".join(p for _, _, p in pieces.split_text("abc", 1, 9)) == "abc"
