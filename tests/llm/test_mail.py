@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockmill.llm import mail
 
@@ -52,14 +53,74 @@ def test_empty_tables(spark):
     assert mail.marked_lines(blocks, heads.where("false")).count() > 0
 
 
+def lines_of(df):
+    return {(r.block_id, r.line_no) for r in df.collect()}
+
+
 def test_a_large_thread_is_dealt_into_slices(spark, monkeypatch):
     said = [f"The crane number {n} verifies the northern gateway before noon." for n in range(40)]
     mails = {n + 1: (BOB if n % 2 else ANN, n or None, ["Hello,", said[n], *([said[n // 2]] if n > 1 else [])]) for n in range(40)}
     blocks, heads = tables(spark, mails)
-    whole = {tuple(r) for r in mail.marked_lines(blocks, heads).collect()}
-    assert {(b, n) for b, n, _ in whole} == {((n + 1) * 100 + 3, 1) for n in range(2, 40)}
-    monkeypatch.setattr(mail, "SLICE_MAILS", 7)
-    assert {tuple(r) for r in mail.marked_lines(blocks, heads).collect()} == whole
+    whole = lines_of(mail.marked_lines(blocks, heads))
+    assert whole == {((n + 1) * 100 + 3, 1) for n in range(2, 40)}
+    monkeypatch.setattr(mail, "SLICE_CHARS", 600)
+    assert lines_of(mail.marked_lines(blocks, heads)) == whole
+
+
+def test_slices_find_what_the_whole_thread_finds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = ["ox", "crane", "gate", "noon", "Ähre", "no", "I", "wheel", "northern", "42", "ride,", "halls", "東京"]
+    sentence = lambda: " ".join(rng.choices(words, k=rng.randint(1, 9))).capitalize() + rng.choice(".!?")
+    said, mails = [], {}
+    for u in range(1, 31):
+        texts = []
+        for _ in range(4):
+            old = " ".join(rng.sample(said, min(len(said), rng.randint(0, 3))))
+            own = [sentence() for _ in range(2)]
+            said += own
+            texts.append(rng.choice([f"{own[0]} {old} {own[1]}", f"{old}\n{own[0]}\n{own[1]}", f"| {old}\n| {own[1]}"]))
+        mails[u] = (ANN if u % 2 else BOB, u - 1 or None, texts)
+    blocks, heads = tables(spark, mails)
+    whole = lines_of(mail.marked_lines(blocks, heads))
+    monkeypatch.setattr(mail, "SLICE_CHARS", 900)
+    assert len(whole) > 30 and lines_of(mail.marked_lines(blocks, heads)) == whole
+
+
+def test_every_match_shares_a_route():
+    texts = ["x", "Ja.", "the crane", "a sentence of some thirty chars.", "A sentence that is much longer than a single window of all its grams, as most are."]
+    for t in texts:
+        assert mail.route_of(t) in mail.routes_of(t)
+        assert mail.route_of(t) in mail.routes_of(f"# lead-in: {t} and more (or not)")
+
+
+def test_history_in_any_place_and_an_answer_below_a_head(spark):
+    first = ["Hi Bob,", "The final crane waits outside. The open hinge verifies the gateway."]
+    mails = {
+        1: (ANN, None, first),
+        2: (BOB, 1, ["Indeed: The final crane waits outside. The open hinge verifies the gateway.", "So be it."]),
+        3: (BOB, 1, ["fyi", "From: Ann Example <ann.example@north-freight.example>\nDate: 2/3/2024 10:00", *first, "I would rather have it inside."]),
+        4: (BOB, 1, ["fyi", "From: Cid <cid@elsewhere.example>\nDate: 2/3/2024 10:00", "Not in any table."]),
+    }
+    blocks, heads = tables(spark, mails)
+    assert lines_of(mail.marked_lines(blocks, heads)) == {(201, 1), (302, 1), (302, 2), (303, 1), (304, 1), (402, 1), (402, 2), (403, 1)}
+
+
+def test_one_subject_does_not_join_mails_that_answer_nothing(spark):
+    rows = [(n, f"<{n}>", None, "hello", ANN, DAY) for n in range(4)] + [(9, "<9>", "<gone>", "Re: other", BOB, DAY), (10, "<10>", None, "Other", BOB, DAY)]
+    got = {r.upload_id: r.thread for r in mail.mail_threads(spark.createDataFrame(rows, HEADS)).collect()}
+    assert len({got[n] for n in range(4)}) == 4 and got[9] == got[10]
+
+
+def test_notes_that_recur_over_senders_close_their_mails(spark):
+    note = "Words sent by {} bind nobody at all, registered in {} as 45{}."
+    mails = {}
+    for n, (name, place) in enumerate((("Ada Miller", "Oxhall"), ("Cleo Baker", "Oxhall"), ("Dan Cooper", "Oxhall"), ("Eve Turner", "Oxhall"))):
+        mails[n + 1] = (f"{name} <{name.split()[0].lower()}@firm-{'abcd'[n]}.example>", None, ["Hi,", ["The crane moves to the hall on Friday.", "Nobody greased a wheel today, sadly.", "Two gates stay shut until the rain ends.", "We ordered ropes and paint for spring."][n], note.format(f"Firm {'ABCD'[n]}", place, n)])
+    blocks, heads = tables(spark, mails)
+    heads = heads.withColumn("subject", F.col("message_id"))
+    assert lines_of(mail.marked_lines(blocks, heads)) == {(u * 100 + 3, 1) for u in mails}
 
 
 def test_a_closing_block_above_passed_on_text_of_any_length(spark):
@@ -82,8 +143,8 @@ def test_a_closing_block_above_passed_on_text_of_any_length(spark):
 def own(text, sender=ANN):
     m = mail.read_mail([(1, 1, text)], sender)
     mail.mark_structure(m)
-    mail.reduce_mail(m, None, set(), (0, 0), set())
-    return [x.text for x in m.own]
+    gone = {(x[0], x[1]) for x in mail._seen(m, mail.Scan(m, (0, 0)), 1, 1, sender)}
+    return [x.text for x in m.lines if (x.block_id, x.number) not in gone]
 
 
 @pytest.mark.parametrize(
