@@ -362,11 +362,15 @@ class Masked:
         return folded(_RULE.sub("--", _DIGITS.sub("0", t)))
 
 
-def units_of(run: list[str], mask: Masked) -> set[str]:
-    """The lines, the sentences and the whole of a run, masked."""
-    masked = [mask(t) for t in run]
-    whole = " ".join(masked)
-    return {u for u in (*masked, *_SENTENCE.split(whole), whole) if any(c.isalpha() for c in u) or "&" in u}
+def units_of(run: list[str], mask: Masked) -> dict[str, set[int]]:
+    """The lines, the sentences and the whole of a run, masked, with the keys of their plain forms."""
+    whole = " ".join(run)
+    out: dict[str, set[int]] = {}
+    for u in (*run, *_SENTENCE.split(whole), whole):
+        masked = mask(u)
+        if "&" in masked or any(c.isalpha() for c in masked):
+            out.setdefault(masked, set()).add(_key("plain " + folded(u.lower())))
+    return out
 
 
 _MASKED_CLOSE = {Masked("", "")(c) for c in _CLOSE}
@@ -396,8 +400,8 @@ def _is_card(text: str, name: str, address: str) -> bool:
 class Closer:
     """Tells the closing blocks of a sender's mails by an automaton of the units that recur, and by convention."""
 
-    def __init__(self, name: str, address: str, automaton, recurring: set[int], keys: dict[str, int]):
-        self.name, self.address, self.automaton, self.recurring, self.keys = name, address, automaton, recurring, keys
+    def __init__(self, name: str, address: str, automaton, recurring: set[str]):
+        self.name, self.address, self.automaton, self.recurring = name, address, automaton, recurring
         self.mask = Masked(name, address)
 
     def conventional(self, t: str) -> bool:
@@ -410,12 +414,12 @@ class Closer:
     def share(self, texts: list[str]) -> float:
         """The share of the masked texts that intervals of recurring units cover."""
         text = " ".join(map(self.mask, texts))
-        if self.automaton is None or not text:
+        if not self.recurring or not text:
             return 0.0
         covered = bytearray(len(text))
         for end, unit in self.automaton.iter(text):
             start = end + 1 - len(unit)
-            if self.keys[unit] in self.recurring and (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
+            if unit in self.recurring and (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
                 covered[start : end + 1] = b"\x01" * len(unit)
         return (covered.count(1) + text.count(" ") - sum(covered[k] for k, c in enumerate(text) if c == " ")) / len(text)
 
@@ -637,23 +641,26 @@ def _routed(large: DataFrame) -> DataFrame:
 
 
 def _recurring(seen: DataFrame) -> DataFrame:
-    """(mail, keys): the keys of those units of each mail that recur, over the threads of its sender or over senders."""
+    """(mail, keys): the keys of those units of each mail that recur: as they stand over the threads of its sender, or masked over
+    senders. (Masked ones of one sender may be reports that differ by a number.)"""
 
-    def units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for mail, thread, sender, runs in frame[["mail", "thread", "sender", "runs"]].itertuples(index=False):
                 name, address = sender_of(sender)
                 if address:
                     mask, who = Masked(name, address), _key(address)
-                    out += [(k, who, thread, mail) for k in {_key(u) for _, lines in json.loads(runs) for u in units_of([x[2] for x in lines], mask)}]
-            yield pd.DataFrame(out, columns=["key", "who", "thread", "mail"])
+                    units = [units_of([x[2] for x in lines], mask) for _, lines in json.loads(runs)]
+                    out += [(k, True, who, thread, mail) for k in {_key(u) for x in units for u in x}]
+                    out += [(k, False, who, thread, mail) for k in {k for x in units for plain in x.values() for k in plain}]
+            yield pd.DataFrame(out, columns=["key", "masked", "who", "thread", "mail"])
 
-    rows = seen.mapInPandas(units, "key bigint, who bigint, thread bigint, mail bigint").checkpoint()
+    rows = seen.mapInPandas(keys_of, "key bigint, masked boolean, who bigint, thread bigint, mail bigint").checkpoint()
     # Combined by key and sender before anything is counted, so a closing of very many mails is few rows.
-    held = rows.groupBy("key", "who").agg(F.count_distinct("thread").alias("threads"))
-    anyone = held.groupBy("key").agg(F.count("*").alias("senders")).where(F.col("senders") >= ANY_SENDERS).select("key", F.lit(True).alias("any"))
-    often = held.join(anyone, "key", "left").where((F.col("threads") >= SENDER_THREADS) | F.col("any")).select("key", "who")
+    held = rows.groupBy("key", "who", "masked").agg(F.count_distinct("thread").alias("threads"))
+    anyone = held.where("masked").groupBy("key").agg(F.count("*").alias("senders")).where(F.col("senders") >= ANY_SENDERS).select("key")
+    often = held.where(~F.col("masked") & (F.col("threads") >= SENDER_THREADS)).select("key", "who").union(held.where("masked").join(anyone, "key", "left_semi").select("key", "who"))
     return rows.join(often, ["key", "who"], "left_semi").groupBy("mail").agg(F.collect_set("key").alias("keys"))
 
 
@@ -665,19 +672,17 @@ def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [json.loads(r) for r in frame["runs"]]
         senders = [sender_of(s) for s in frame["sender"]]
         keys = [set(map(int, k)) if k is not None else set() for k in frame["keys"]]
-        known: dict[str, int] = {}
+        recurring = []
         for (name, address), runs, own in zip(senders, texts, keys):
             mask = Masked(name, address)
-            known.update((u, k) for _, lines in runs for u in units_of([x[2] for x in lines], mask) if (k := _key(u)) in own)
-        automaton = None
-        if known:
-            automaton = ahocorasick.Automaton()
-            for u in known:
-                automaton.add_word(u, u)
-            automaton.make_automaton()
+            recurring.append({u for _, lines in runs for u, plain in units_of([x[2] for x in lines], mask).items() if not own.isdisjoint(plain) or _key(u) in own} if own else set())
+        automaton = ahocorasick.Automaton()
+        for u in set().union(*recurring):
+            automaton.add_word(u, u)
+        automaton.make_automaton()
         out = []
-        for (name, address), runs, own in zip(senders, texts, keys):
-            out += closing_lines(runs, Closer(name, address, automaton, own, known))
+        for (name, address), runs, own in zip(senders, texts, recurring):
+            out += closing_lines(runs, Closer(name, address, automaton, own))
         yield pd.DataFrame(out, columns=["block_id", "line_no"]).assign(why="closing")
 
 
