@@ -7,7 +7,7 @@ structure. For them, and to judge spans that correct text could form by chance,
 are weighed by a character model counted over the whole corpus.
 
 The model is a count-min sketch of a fixed size (counts of character and character-class trigrams and of words under two
-hashes, the lesser of which holds), so what is gathered and broadcast does not grow with the data. Records themselves
+hashes, the lesser of which holds, less the mean load of a slot), so what is gathered and broadcast does not grow with the data. Records themselves
 are never shuffled.
 """
 
@@ -28,10 +28,14 @@ from blockmill.sources.tables import spread
 # Single-byte encodings that texts are misread in, or written in.
 SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp866", "cp1250", "iso8859_2", "cp1251", "koi8_r", "cp1253", "iso8859_7", "cp1254", "iso8859_5", "cp852")
 MULTI = ("cp932", "euc_jp")
-#: Slots of each of the two rows of the model; the characters of a word that it counts; and the length at which an endless word is parted.
+#: Slots of each of the two rows of the model.
 SLOTS = 1 << 20
-COUNTED_CHARS = 64
+#: Characters after which an endless word is parted, at the next place where two characters of ASCII meet: no multibyte span crosses it.
 WORD_CHARS = 4096
+#: Characters of different words that a task gathers before it counts them.
+GATHERED_CHARS = 1 << 22
+#: So many times the mean load of a slot by words is taken for chance.
+NOISE = 2.0
 #: What a reading must gain in log likelihood to be taken.
 GAIN_STRUCTURE, GAIN_STRUCTURE_OTHER, GAIN_SINGLE, GAIN_ODD = -15.0, 1.0, 2.5, 0.0
 #: A word may be so many times as frequent as what it is read for, if nothing else tells it to be garbled.
@@ -323,7 +327,8 @@ def _features(points: np.ndarray):
 
 
 def _count_words(words: dict[str, list[int]]) -> np.ndarray:
-    counts = np.zeros((2, 2 * SLOTS), np.int64)
+    """Counts of the slots, and last the number of words."""
+    counts = np.zeros((2, 2 * SLOTS + 1), np.int64)
     if words:
         points, of = _laid_out(list(words))
         inside, slots = _features(points)
@@ -331,20 +336,29 @@ def _count_words(words: dict[str, list[int]]) -> np.ndarray:
         for k, each in enumerate(np.array(list(words.values()), np.int64).T):
             weight = each[of[2:]][inside]
             for row in (s for pair in slots for s in pair):
-                counts[k] += np.bincount(row[inside], weights=weight, minlength=2 * SLOTS).astype(np.int64)
+                counts[k, :-1] += np.bincount(row[inside], weights=weight, minlength=2 * SLOTS).astype(np.int64)
             for row in word_slots:
-                counts[k] += np.bincount(row, weights=each, minlength=2 * SLOTS).astype(np.int64)
+                counts[k, :-1] += np.bincount(row, weights=each, minlength=2 * SLOTS).astype(np.int64)
+            counts[k, -1] += each.sum()
     return counts
 
 
+_SAFE_CUT = re.compile("(?<=[\x21-\x7e])(?=[\x21-\x7e])")
+
+
+def parts_of(word: str) -> list[str]:
+    """The word, or where it is overlong its parts: each of WORD_CHARS or more, up to a place that no multibyte span crosses."""
+    out, at = [], 0
+    while len(word) - at > WORD_CHARS and (m := _SAFE_CUT.search(word, at + WORD_CHARS)):
+        out.append(word[at : m.start()])
+        at = m.start()
+    return [*out, word[at:]]
+
+
 def words_of(text: str) -> list[str]:
-    """The words that hold a character beyond ASCII; a word is what stands between ASCII white space, cut where it
+    """The words that hold a character beyond ASCII; a word is what stands between ASCII white space, in parts where it
     is overlong."""
-    out = []
-    for w in _WORD.findall(text):
-        if not w.isascii():
-            out += [w] if len(w) <= WORD_CHARS else [p for k in range(0, len(w), WORD_CHARS) if not (p := w[k : k + WORD_CHARS]).isascii()]
-    return out
+    return [p for w in _WORD.findall(text) if not w.isascii() for p in parts_of(w) if not p.isascii()]
 
 
 def character_model(texts: DataFrame) -> np.ndarray:
@@ -353,27 +367,32 @@ def character_model(texts: DataFrame) -> np.ndarray:
     many rows would pass for normal; in the second, each row counts."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, 2 * SLOTS), np.int64)
+        counts = np.zeros((2, 2 * SLOTS + 1), np.int64)
         seen: dict[str, list[int]] = {}
+        gathered = 0
         for frame in frames:
             for text, copies in zip(frame["text"], frame["copies"]):
                 copies = int(copies)
                 for w in words_of(text):
-                    w = w[:COUNTED_CHARS]
-                    held = seen.setdefault(w, [0, 0])
+                    held = seen.get(w)
+                    if held is None:
+                        held = seen[w] = [0, 0]
+                        gathered += len(w) + 16
                     held[0] += copies.bit_length()
                     held[1] += copies
-            if len(seen) > 100_000:
-                counts += _count_words(seen)
-                seen = {}
+                if gathered > GATHERED_CHARS:
+                    counts += _count_words(seen)
+                    seen, gathered = {}, 0
         counts += _count_words(seen)
         at = np.flatnonzero(counts[1])
         yield pd.DataFrame({"slot": at, "few": counts[0, at], "n": counts[1, at]})
 
     parts = texts.groupBy("text").agg(F.count("*").alias("copies")).mapInPandas(count, "slot bigint, few bigint, n bigint").groupBy("slot").agg(F.sum("few").alias("few"), F.sum("n").alias("n"))
-    frame = parts.toPandas()  # at most 2 * SLOTS rows
-    model = np.zeros((2, 2 * SLOTS), np.float32)
+    frame = parts.toPandas()  # at most 2 * SLOTS + 1 rows
+    # Only ratios of counts matter, so the 24 bits of a float are enough at any size of the corpus.
+    model = np.zeros((2, 2 * SLOTS + 1), np.float32)
     model[:, frame["slot"].to_numpy(np.int64)] = frame[["few", "n"]].to_numpy(np.float32).T
+    model[:, -1] /= SLOTS
     return model
 
 
@@ -381,12 +400,18 @@ class Reader:
     """Judges words by the model and keeps its verdicts."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model, self.load = model[:, : 2 * SLOTS], model[:, 2 * SLOTS]
         self.verdicts: dict[str, tuple[str, bool] | None] = {}
+        self.held = 0
 
     def _counts(self, slots: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         return np.minimum(self.model[:, slots[0]], self.model[:, slots[1]])
 
+    def _known(self, words: list[str]) -> np.ndarray:
+        """How often words stand in the corpus, less what other words leave in their slots on average: in a corpus of any size a word is
+        known if it is frequent beyond that, not because its slots are never empty."""
+        return np.maximum(0.0, self._counts(_word_slots(words)) - NOISE * self.load[:, None])
+
     def _scores(self, words: list[str]) -> np.ndarray:
         points, of = _laid_out(words)
         inside, slots = _features(points)
@@ -428,7 +453,9 @@ class Reader:
         """Fills the verdicts of new words: None for a sound one, else its restored form and whether it is proof by
         itself."""
         new = [w for w in dict.fromkeys(words) if w not in self.verdicts]
-        if len(self.verdicts) > 300_000:
+        self.held += sum(map(len, new))
+        if self.held > GATHERED_CHARS:
+            self.held = sum(map(len, words))
             self.verdicts.clear()
             new = list(dict.fromkeys(words))
         current = {w: w for w in new}
@@ -441,8 +468,8 @@ class Reader:
             forms = [current[w] for w in todo]
             options = self._candidates(forms)
             flat = [o for opts in options for o, _ in opts]
-            known = self._counts(_word_slots([o[:COUNTED_CHARS] for o in flat])) if flat else np.zeros((2, 0))
-            own_known = self._counts(_word_slots([f[:COUNTED_CHARS] for f in forms]))
+            known = self._known(flat) if flat else np.zeros((2, 0))
+            own_known = self._known(forms)
             base, scores, at = self._scores(forms), self._scores(flat) if flat else np.zeros((2, 0)), 0
             following = {}
             for k, (w, opts) in enumerate(zip(todo, options)):
@@ -487,7 +514,7 @@ class Reader:
             w = m.group()
             if w.isascii():
                 return w
-            parts = [w[k : k + WORD_CHARS] for k in range(0, len(w), WORD_CHARS)]
+            parts = parts_of(w)
             out = [script.get(p) or (self.verdicts.get(p) or (p,))[0] for p in parts]
             changed += out != parts
             return "".join(out)

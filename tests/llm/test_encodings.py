@@ -79,3 +79,25 @@ def test_empty_table_and_very_long_words(spark):
     assert encodings.find_garbled(empty).count() == 0
     long = spark.createDataFrame([("a", 1, "é" * 20000 + " " + "ok" * 20000)], "rec string, rec_id bigint, text string")
     assert encodings.find_garbled(long).count() == 0
+
+
+def test_parts_of_overlong_words_cut_no_span(spark):
+    bad = "é".encode().decode("cp1252")
+    for before in (4095, 4096, 4094):
+        word = "a" * before + bad * 3 + "b" * 9000 + bad
+        parts = encodings.parts_of(word)
+        assert "".join(parts) == word and sum(p.count(bad) for p in parts) == 4
+        assert "".join(encodings._decode_spans(p, "cp1252") or p for p in parts) == encodings._decode_spans(word, "cp1252")
+    assert encodings.parts_of("漢" * 9000) == ["漢" * 9000]
+    rows = [("x", 1, "a" * 4095 + bad), ("x", 2, "語" * 80 + " ok"), *(("clean", n, t) for n, t in enumerate(CLEAN * 3))]
+    df = spark.createDataFrame(rows, "rec string, rec_id bigint, text string")
+    assert [r.restored for r in encodings.find_garbled(df).collect()] == ["a" * 4095 + "é"]
+
+
+def test_known_words_are_those_beyond_chance():
+    model = encodings.np.zeros((2, 2 * encodings.SLOTS + 1), encodings.np.float32)
+    model[:, :] = 1000.0
+    assert encodings.Reader(model)._known(["größe"]).max() == 0
+    for slot in encodings._word_slots(["größe"]):
+        model[:, slot] = 5000.0
+    assert encodings.Reader(model)._known(["größe"]).min() > 0
