@@ -58,6 +58,34 @@ def test_ranges_give_the_same_pieces(spark):
     check(text, 700, 90, [whole[k] for k in sorted(whole) if k[0] == 1])
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet="ab. \n\t,)é漢。🎉", min_size=1, max_size=700), st.integers(4, 60), st.integers(0, 60), st.integers(1, 200))
+def test_the_size_of_a_range_has_no_part_in_the_pieces(text, limit, overlap, size):
+    assert pieces.split_text(text, limit, overlap, size) == pieces.split_text(text, limit, overlap)
+
+
+def test_long_white_space_is_one_pause():
+    data = b"end." + b"\n" + b" " * 300 + b"\nnext"
+    assert max(pieces.boundaries(data, 0, 0, len(data), 64).table, key=lambda x: x[1]) == (306, pieces.PARAGRAPH)
+
+
+def test_many_ranges_in_spark(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(n, "".join(rng.choice(["ab ", "c", "é", "漢", "。", ". ", "\n\n", " " * 40, "x" * 30]) for _ in range(rng.randint(100, 900))), rng.randint(4, 60), rng.randint(0, 50)) for n in range(60)]
+    ranged = {(r.id, r.piece_no): (r.start_byte, r.end_byte, r.piece) for r in run(spark, rows, range_bytes=1).collect()}
+    assert ranged == {(n, k): p for n, text, limit, over in rows for k, p in enumerate(pieces.split_text(text, limit, over), 1)}
+
+
+def test_files_are_read_by_ranges(spark, tmp_path):
+    text = "".join(f"Word{n} and more, é漢 text{'.' if n % 7 == 0 else ''}{chr(10) * (n % 23 == 0)} " for n in range(20000))
+    (tmp_path / "a.txt").write_text(text, encoding="utf-8", newline="")
+    (tmp_path / "b.txt").write_text("short")
+    got = {(r.path.rpartition("/")[2], r.piece_no): (r.start_byte, r.end_byte, r.piece) for r in pieces.split_files(spark, str(tmp_path), 700, 90, range_bytes=20000).collect()}
+    assert got == {("b.txt", 1): (0, 5, "short")} | {("a.txt", k): p for k, p in enumerate(pieces.split_text(text, 700, 90), 1)}
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, None, 5, 0), (2, "", 5, 0), (3, "abcdefgh", None, 0), (4, "abcdefgh", 0, 0), (5, "ab cd ef gh", 6, None), (5, "ab cd ef gh", 6, None)]
     got = run(spark, rows).collect()
