@@ -27,12 +27,39 @@ def test_fewest_containers_where_the_plain_order_needs_more():
 
 def test_containers_keep_the_mixture():
     sizes, queues = [10] * 90, ["a"] * 60 + ["b"] * 30
-    found, owed = packing.round_robin(sizes, queues, 90)
+    found, owed = packing.pack(sizes, queues, 90)
     for c in found:
         assert 5 <= sum(queues[k] == "a" for k in c) <= 7
     assert all(abs(x) < 90 for x in owed.values())
 
 
+def test_given_shares_and_debts_where_a_fuller_packing_wins():
+    sizes, queues = [10] * 60, ["a"] * 30 + ["b"] * 30
+    found = packing.round_robin(sizes, queues, 40, share={"a": 0.25, "b": 0.75})
+    assert all(sum(queues[k] == "a" for k in c) == 1 for c in found[:9])
+    sizes = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 10, 10]
+    queues = ["a", "b"] * 6
+    containers, debts = packing.pack(sizes, queues, 100, {"a": 5.0, "b": -3.0})
+    assert len(containers) == 2 and sum(debts.values()) == pytest.approx(2 + 200 - 200)
+    share = packing.shares_of(sizes, queues)
+    assert debts["a"] == pytest.approx(5 + 200 * share["a"] - sum(sizes[::2]))
+
+
+def test_large_capacities_are_searched_in_units():
+    sizes = [440_000, 240_000, 240_000, 220_000, 210_000, 170_000, 80_000, 80_000, 60_000, 60_000, 99_000, 99_000]
+    found = packing.fullest(sizes, 1_000_000)
+    assert len(found) == 2 and all(sum(sizes[k] for k in c) <= 1_000_000 for c in found)
+    assert sorted(packing.fullest([999_999, 1_000_000], 1_000_000)) == [[0], [1]]
+
+
+def test_debts_are_divided_among_slices_and_none_is_lost(spark):
+    packed = [("block", 1, slice_no << 26, n, 0, 1, queue, 100, True, owed) for n, (slice_no, queue, owed) in enumerate([(0, "a", 9.0), (0, "b", -2.0), (1, "a", 3.0), (2, "a", 6.0), (2, "b", 4.0), (2, "b", 4.0)])]
+    first = packing.debts_of(spark.createDataFrame(packed, packing._PACKED), None)
+    assert {(r.queue, r.owed) for r in first.collect()} == {("a", 18.0), ("b", 2.0)}
+    later = packing.debts_of(spark.createDataFrame(packed[:1], packing._PACKED), first)
+    assert {(r.queue, r.owed) for r in later.collect()} == {("a", 9.0), ("b", 2.0)}
+
+
 def test_large_uploads_are_packed_in_slices(spark):
     rng = random.Random(1)
     rows = [("block", 1, n, 0, rng.randint(1, 60), f"q{n % 2}", 100, "") for n in range(900)] + [("block", 2, 5000 + n, 0, 40, None, 100, "") for n in range(5)] + [("chunk", 1, 1, 0, 0, "q", 100, "")]
