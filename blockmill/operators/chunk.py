@@ -2,8 +2,9 @@
 
 Each chunker takes blocks with the key columns of a document, block_no, kind, block_level, text, cells, row_no, anchor_kind, slide
 and sheet, and the sizes in force (`target`, `overlap`, `maximum`, in bytes). Running state that windows can state (the
-heading path, the header and width of a sheet) is left to Catalyst; the greedy fill, which depends on what went
-before, is one pass over sorted rows and holds a batch, not a document.
+header and width of a sheet) is left to Catalyst; the heading path and the greedy fill, which depend on all that went
+before, are one pass over sorted rows and hold a batch, not a document. These are for tables of blocks; whole documents
+take the same rules in operators/document_chunks.py without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,13 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockmill.functions.text import byte_pieces, closing_words, column_name, tokens_estimated, trimmed
-from blockmill.operators.blocks import ANCHOR_CODES
-
-#: Heading levels that a path can hold; deeper ones count as the deepest.
-LEVELS = 9
-PATH_MARK = " › "
-SAMPLE_ROWS = 3
+from blockmill.functions.text import byte_pieces, column_name, tokens_estimated, trim, trimmed
+from blockmill.operators.blocks import ANCHOR_CODES, HEADING, Block
+from blockmill.operators.document_chunks import PATH_MARK, SAMPLE_ROWS, Chunk, below, chunks_of, fill_section, labels, opens_group
 
 CHUNK_COLUMNS = ["idx", "text", "source_label", "anchor_kind", "anchor_code", "page_start", "page_end", "slide", "sheet", "cell_range", "heading_path", "token_count"]
 
@@ -50,19 +47,16 @@ def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], size: str,
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema) + ", grp int"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, group, held, closed = None, 0, 0, False
+        now, group, held = None, -1, None
         for frame in frames:
             groups = []
             single = frame[alone].tolist() if alone else [False] * len(frame)
             for key, n, most, one in zip(zip(*(frame[k].tolist() for k in keys)), frame[size].tolist(), frame[target].tolist(), single):
                 if key != now:
-                    now, group, held, closed = key, 0, 0, False
-                    fresh = True
-                else:
-                    fresh = False
-                if not fresh and (one or closed or (held > 0 and held + n > most)):
-                    group, held = group + 1, 0
-                held, closed = held + n, bool(one)
+                    now, group, held = key, -1, None
+                new = opens_group(held, n, most, bool(one))
+                group += new
+                held = None if one else n if new else held + n
                 groups.append(group)
             frame["grp"] = pd.array(groups, dtype="int32")
             yield frame
@@ -91,53 +85,31 @@ def _text(column: str = "text") -> Column:
 
 
 def heading_paths(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """`blocks` with `section` (headings so far) and `heading_path` (the headings a block stands under, blank ones left
-    out): for each level the last heading of it, unless a higher one came after."""
-    is_heading = F.col("kind") == "Heading"
-    level = F.least(F.greatest(F.coalesce("block_level", F.lit(1)), F.lit(1)), F.lit(LEVELS))
-    so_far = Window.partitionBy(*keys).orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marks = {}
-    for n in range(1, LEVELS + 1):
-        marks[f"__at{n}"] = F.max(F.when(is_heading & (level == n), F.col("block_no"))).over(so_far)
-        marks[f"__cut{n}"] = F.max(F.when(is_heading & (level < n), F.col("block_no"))).over(so_far)
-        marks[f"__text{n}"] = F.last(F.when(is_heading & (level == n), _text()), ignorenulls=True).over(so_far)
-    marks["section"] = F.sum(F.when(is_heading, 1).otherwise(0)).over(so_far).cast("int")
-    wide = blocks.withColumns(marks)
-    steps = [F.when(F.col(f"__at{n}") > F.coalesce(F.col(f"__cut{n}"), F.lit(-1)), F.col(f"__text{n}")).otherwise("") for n in range(1, LEVELS + 1)]
-    path = F.filter(F.array(*steps), lambda t: t != "")
-    return wide.withColumn("heading_path", path).select(*blocks.columns, "section", "heading_path")
-
-
-def fill_section(texts: list[str], label: str, target: int, overlap: int, maximum: int) -> list[str]:
-    """The chunks of one section's bodies, in order."""
-    out: list[str] = []
-    body: list[str] = []
-    held = 0
-
-    def close() -> None:
-        nonlocal body, held
-        if body:
-            joined = "\n\n".join(body)
-            out.extend(byte_pieces(f"{label}\n\n{joined}" if label else joined, maximum))
-        body, held = [], 0
-
-    for t in texts:
-        size = len(t.encode("utf-8", "replace"))
-        if size > maximum:
-            close()
-            for part in byte_pieces(t, maximum):
-                body = [part]
-                close()
-            continue
-        if held > 0 and held + size > target:
-            tail = closing_words("\n\n".join(body), overlap)
-            close()
-            if tail:
-                body, held = [tail], len(tail.encode("utf-8", "replace"))
-        body.append(t)
-        held += size
-    close()
-    return out
+    """`blocks` with `section` (headings so far) and `heading_path` (the headings a block stands under, of any depth, blank ones left
+    out): a heading ends all that are not of a higher level. One pass over the sorted rows of a document."""
+    made, names = blocks.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy("block_no"))), blocks.columns
+    marks = ["__kind", "__level", "__text"]
+    narrow = made.withColumns({"__kind": F.col("kind"), "__level": F.greatest(F.coalesce("block_level", F.lit(1)), F.lit(1)), "__text": F.when(F.col("kind") == HEADING, F.coalesce("text", F.lit("")))})
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema) + ", section int, heading_path array<string>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, path, shown, section = None, (), [], 0
+        for frame in frames:
+            sections, paths = [], []
+            for key, kind, level, text in zip(zip(*(frame[k].tolist() for k in keys)), *(frame[c].tolist() for c in marks)):
+                if key != now:
+                    now, path, shown, section = key, (), [], 0
+                if kind == HEADING:
+                    path, section = below(path, int(level), trim(text)), section + 1
+                    shown = list(labels(path))
+                sections.append(section)
+                paths.append(shown)
+            out = frame[names].copy()
+            out["section"] = pd.array(sections, dtype="int32")
+            out["heading_path"] = paths
+            yield out
+
+    return narrow.mapInPandas(run, schema)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -269,15 +241,37 @@ def chunk_slides(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return _finished(cut_to_max(packed), keys, [F.col("grp"), F.col("piece_no")])
 
 
-# ---- dispatch ----
+# ---- whole documents ----
+
+_TEXT, _NUMBER = T.StringType(), T.IntegerType()
+CHUNKS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("text", _TEXT), ("source_label", _TEXT), ("anchor_kind", _TEXT), ("slide", _NUMBER), ("sheet", _TEXT), ("cell_range", _TEXT), ("heading_path", T.ArrayType(_TEXT)))]))
+
+
+def as_rows(chunks: list[Chunk]) -> list[dict]:
+    return [c._asdict() | {"heading_path": list(c.heading_path)} for c in chunks]
+
+
+@F.pandas_udf(CHUNKS)
+def _document(shapes: pd.Series, blocks: pd.Series, targets: pd.Series, overlaps: pd.Series, maxima: pd.Series) -> pd.Series:
+    made = []
+    for shape, rows, target, overlap, maximum in zip(shapes, blocks, targets, overlaps, maxima):
+        held = [Block(r["kind"], r["block_level"] or 0, r["text"] or "", list(r["cells"]) if r["cells"] is not None else None, r["row_no"] or 0, r["anchor_kind"], r["slide"] or 0, r["sheet"] or "") for r in rows]
+        made.append(as_rows(chunks_of(shape, held, int(target), int(overlap), int(maximum))))
+    return pd.Series(made)
+
 
-CHUNKERS = {"prose": chunk_prose, "sheets": chunk_sheets, "slides": chunk_slides}
+def exploded_chunks(documents: DataFrame, keys: list[str], column: str = "chunks") -> DataFrame:
+    """The rows of an array of chunks, in their common shape."""
+    # The outer form: Catalyst would evaluate the chunks again for a filter on the size of a plain one.
+    rows = documents.select(*keys, F.posexplode_outer(column).alias("idx", "c")).where("idx IS NOT NULL").select(*keys, "idx", "c.*")
+    rows = rows.withColumns({"page_start": F.lit(0), "page_end": F.lit(0), "token_count": tokens_estimated(F.col("text")), "anchor_code": _code()})
+    return rows.select(*keys, *CHUNK_COLUMNS)
 
 
 def chunk_blocks(blocks: DataFrame, keys: list[str], shape_col: str = "shape") -> DataFrame:
-    """Chunks of blocks of any shape; `shape_col` says which chunker a document takes."""
-    out = None
-    for shape, chunker in CHUNKERS.items():
-        part = chunker(blocks.where(F.col(shape_col) == shape), keys)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Chunks of a table of blocks of any shape; `shape_col` says which chunker a document takes. The blocks of a document are brought
+    together (they are those of one file of at most 150 MiB) and chunked at once: one scan and one shuffle for all shapes."""
+    fields = ["block_no", "kind", "block_level", "text", "cells", "row_no", "anchor_kind", "slide", "sheet"]
+    sizes = ["target", "overlap", "maximum"]
+    documents = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("__blocks"), *[F.first(c).alias(c) for c in (shape_col, *sizes)])
+    return exploded_chunks(documents.withColumn("chunks", _document(F.col(shape_col), F.col("__blocks"), *map(F.col, sizes))), keys)

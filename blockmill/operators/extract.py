@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +13,9 @@ from blockmill.functions.text import paragraph_list
 from blockmill.operators import office_formats as office
 from blockmill.operators import plain_formats as plain
 from blockmill.operators.blocks import SHAPES, Block
+from blockmill.operators.chunk import CHUNKS, as_rows
 from blockmill.operators.detect import archive_format, detect_format
+from blockmill.operators.document_chunks import chunks_of
 from blockmill.sources.archives import MAX_DOCUMENT, Rejected
 from blockmill.sources.tables import spread
 
@@ -70,7 +72,8 @@ _RESULT = T.StructType(
 )
 
 
-def _parsed(format_name: str | None, content: bytes | None) -> tuple:
+def _opened(format_name: str | None, content: bytes | None) -> tuple[str | None, list[Block] | None, str | None, str | None]:
+    """(format, blocks, code, message) of a document; no format if there is nothing to open."""
     if format_name is None or content is None:
         return None, None, None, None
     data = bytes(content)
@@ -80,7 +83,11 @@ def _parsed(format_name: str | None, content: bytes | None) -> tuple:
         if colon:
             return None, None, code, message
         format_name = found
-    blocks, code, message = blocks_of(format_name, data)
+    return format_name, *blocks_of(format_name, data)
+
+
+def _parsed(format_name: str | None, content: bytes | None) -> tuple:
+    format_name, blocks, code, message = _opened(format_name, content)
     rows = None if blocks is None else [{"kind": b.kind, "block_level": b.level, "text": b.text, "cells": b.cells, "row_no": b.row, "anchor_kind": b.anchor_kind, "slide": b.slide, "sheet": b.sheet} for b in blocks]
     return format_name, rows, code, message
 
@@ -93,6 +100,44 @@ def _parse(formats: pd.Series, contents: pd.Series) -> pd.DataFrame:
 _parse_udf = F.pandas_udf(_parse, _RESULT).asNondeterministic()
 
 
+_CHUNKED = T.StructType([T.StructField("format", T.StringType()), T.StructField("chunks", CHUNKS), T.StructField("code", T.StringType()), T.StructField("message", T.StringType())])
+
+
+def _chunked(formats: pd.Series, contents: pd.Series, targets: pd.Series, overlaps: pd.Series, maxima: pd.Series) -> pd.DataFrame:
+    out = []
+    for kind, content, target, overlap, maximum in zip(formats, contents, targets, overlaps, maxima):
+        found, blocks, code, message = _opened(kind, content)
+        out.append((found, None if blocks is None else as_rows(chunks_of(found, blocks, int(target), int(overlap), int(maximum))), code, message))
+    return pd.DataFrame(out, columns=_CHUNKED.names)
+
+
+_chunk_udf = F.pandas_udf(_chunked, _CHUNKED).asNondeterministic()
+
+
+def _known(raw: DataFrame, id_col: str, content_col: str, filename_col: str, type_col: str, keep: list[str]) -> DataFrame:
+    """(__id, __keep_..., content, __large, format, reject_code, reject_message): documents with their detected format. Those beyond 150 MiB
+    lose their bytes before anything opens them."""
+    sized = spread(raw).select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__keep_{c}") for c in keep], F.col(content_col).alias("content"), F.col(filename_col).alias("filename"), F.col(type_col).alias("content_type"))
+    large = F.octet_length("content") > MAX_DOCUMENT
+    return detect_format(sized.withColumn("__large", large).withColumn("content", F.when(~large, F.col("content"))), open_archives=False)
+
+
+def _message() -> Column:
+    return F.when(F.col("__large"), f"document exceeds {MAX_DOCUMENT} bytes").otherwise(F.coalesce("reject_message", "__parsed.message"))
+
+
+def chunk_documents(raw: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", filename_col: str = "filename", type_col: str = "content_type") -> DataFrame:
+    """(id_col, format, chunks array<struct>, reject_code, reject_message): one row for each document of `raw`, which holds the sizes in
+    force as target, overlap and maximum.
+
+    One scan and one Python stage, in which a document is parsed and chunked; no shuffle. Rejected documents have null chunks.
+    """
+    sizes = ["target", "overlap", "maximum"]
+    known = _known(raw, id_col, content_col, filename_col, type_col, sizes)
+    made = known.withColumn("__parsed", _chunk_udf(F.col("format"), F.col("content"), *[F.col(f"__keep_{c}") for c in sizes]))
+    return made.select(F.col("__id").alias(id_col), F.col("__parsed.format").alias("format"), F.col("__parsed.chunks").alias("chunks"), F.coalesce("reject_code", "__parsed.code").alias("reject_code"), _message().alias("reject_message"))
+
+
 def extract_documents(raw: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", filename_col: str = "filename", type_col: str = "content_type", keep: list[str] | None = None) -> DataFrame:
     """(id_col, keep..., format, blocks array<struct>, reject_code, reject_message): one row for each document.
 
@@ -100,22 +145,19 @@ def extract_documents(raw: DataFrame, *, id_col: str = "doc_id", content_col: st
     split by Catalyst, and nothing of it goes to Python either. Rejected documents have null blocks.
     """
     keep = keep or []
-    sized = spread(raw).select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__keep_{c}") for c in keep], F.col(content_col).alias("content"), F.col(filename_col).alias("filename"), F.col(type_col).alias("content_type"))
-    large = F.octet_length("content") > MAX_DOCUMENT
-    known = detect_format(sized.withColumn("__large", large).withColumn("content", F.when(~large, F.col("content"))), open_archives=False)
+    known = _known(raw, id_col, content_col, filename_col, type_col, keep)
     text = F.col("content").cast("string")
     is_plain = (F.col("format") == "txt") & F.coalesce(F.is_valid_utf8(text), F.lit(False))
     block = F.transform(paragraph_list(text), lambda p: F.struct(F.lit("Paragraph").alias("kind"), F.lit(0).alias("block_level"), p.alias("text"), F.lit(None).cast("array<string>").alias("cells"), F.lit(0).alias("row_no"), F.lit("Section").alias("anchor_kind"), F.lit(0).alias("slide"), F.lit("").alias("sheet")))
     known = known.withColumn("__plain", is_plain)
     other = known.withColumn("__parsed", _parse_udf(F.when(~F.col("__plain"), F.col("format")), F.when(~F.col("__plain"), F.col("content"))))
-    message = F.when(F.col("__large"), f"document exceeds {MAX_DOCUMENT} bytes").otherwise(F.coalesce("reject_message", "__parsed.message"))
     return other.select(
         F.col("__id").alias(id_col),
         *[F.col(f"__keep_{c}").alias(c) for c in keep],
         F.when(F.col("__plain"), F.col("format")).otherwise(F.col("__parsed.format")).alias("format"),
         F.when(F.col("__plain"), block).otherwise(F.col("__parsed.blocks")).alias("blocks"),
         F.coalesce("reject_code", "__parsed.code").alias("reject_code"),
-        message.alias("reject_message"),
+        _message().alias("reject_message"),
     )
 
 

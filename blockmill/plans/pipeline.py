@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockmill.functions.sizing import resolved_max, resolved_overlap, resolved_target
-from blockmill.operators.chunk import chunk_blocks
-from blockmill.operators.extract import exploded_blocks, extract_documents, rejects, shape_of
+from blockmill.operators.chunk import exploded_chunks
+from blockmill.operators.extract import chunk_documents, rejects
 
 
 class Parsed(NamedTuple):
@@ -26,8 +26,12 @@ def with_sizes(df: DataFrame, target: str = "target_chars", overlap: str = "over
 def parse_documents(raw: DataFrame, id_col: str = "doc_id") -> Parsed:
     """Chunks and rejects of (id_col, content, filename, content_type, target_chars, overlap_chars, max_chars).
 
-    Both are plans over one extraction; cache or write it first (extract_documents) to run it once for both.
+    Each is one scan and one Python stage without a shuffle. To run that once for both, write chunk_documents first and take both from
+    there (see streaming/ingest.py).
     """
-    extracted = extract_documents(with_sizes(raw), id_col=id_col, keep=["target", "overlap", "maximum"])
-    blocks = exploded_blocks(extracted, id_col, ["target", "overlap", "maximum"]).withColumn("shape", shape_of())
-    return Parsed(chunk_blocks(blocks, [id_col, "format"]), rejects(extracted, id_col))
+    return parsed_of(chunk_documents(with_sizes(raw), id_col=id_col), id_col)
+
+
+def parsed_of(documents: DataFrame, id_col: str = "doc_id") -> Parsed:
+    """Chunks and rejects of what chunk_documents gave."""
+    return Parsed(exploded_chunks(documents, [id_col, "format"]), rejects(documents, id_col))

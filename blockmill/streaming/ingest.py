@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from blockmill.operators.chunk import chunk_blocks
-from blockmill.operators.extract import exploded_blocks, extract_documents, rejects, shape_of
-from blockmill.plans.pipeline import with_sizes
+from blockmill.operators.extract import chunk_documents
+from blockmill.plans.pipeline import parsed_of, with_sizes
 from blockmill.sources.frames import as_documents
 
 
@@ -26,12 +25,12 @@ def write_chunks(documents: DataFrame, chunks_path: str, rejects_path: str, chec
     batch that is run again after a failure replaces its own files."""
 
     def run(batch: DataFrame, number: int) -> None:
-        sizes = ["target", "overlap", "maximum"]
-        extracted = extract_documents(with_sizes(batch), keep=sizes).persist()
-        blocks = exploded_blocks(extracted, keep=sizes).withColumn("shape", shape_of())
-        chunk_blocks(blocks, ["doc_id", "format"]).write.mode("overwrite").parquet(f"{chunks_path}/batch={number}")
-        rejects(extracted).write.mode("overwrite").parquet(f"{rejects_path}/batch={number}")
-        extracted.unpersist()
+        # Written once, so that a document is parsed once for chunks and rejects, and a lost executor loses nothing of it.
+        staged = f"{chunks_path.rstrip('/')}_staged/batch={number}"
+        chunk_documents(with_sizes(batch)).write.mode("overwrite").parquet(staged)
+        parsed = parsed_of(batch.sparkSession.read.parquet(staged))
+        parsed.chunks.write.mode("overwrite").parquet(f"{chunks_path}/batch={number}")
+        parsed.rejects.write.mode("overwrite").parquet(f"{rejects_path}/batch={number}")
 
     writer = documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

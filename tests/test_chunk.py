@@ -24,21 +24,23 @@ def taken(df):
     return df.orderBy("idx").collect()
 
 
-def test_breadcrumbs(spark):
-    rows = taken(chunk_prose(frame(spark, [heading(1, "Guide"), heading(2, "Auth"), para("Use SSO."), heading(2, "Billing"), para("Invoices monthly.")], 5000), ["doc_id"]))
-    assert [(r.source_label, r.text) for r in rows] == [("Guide › Auth", "Guide › Auth\n\nUse SSO."), ("Guide › Billing", "Guide › Billing\n\nInvoices monthly.")]
-    assert [list(r.heading_path) for r in rows] == [["Guide", "Auth"], ["Guide", "Billing"]]
+def test_labels_follow_the_headings(spark):
+    rows = taken(chunk_prose(frame(spark, [para("Opening."), heading(1, "Mill"), heading(2, "Stones"), para("Dress them yearly."), heading(2, "Sluice"), para("Rake it."), para("Oil it.")], 900), ["doc_id"]))
+    assert [(r.source_label, r.text) for r in rows] == [("", "Opening."), ("Mill › Stones", "Mill › Stones\n\nDress them yearly."), ("Mill › Sluice", "Mill › Sluice\n\nRake it.\n\nOil it.")]
+    assert [list(r.heading_path) for r in rows] == [[], ["Mill", "Stones"], ["Mill", "Sluice"]]
 
 
-def test_sections_split_at_the_target(spark):
-    rows = taken(chunk_prose(frame(spark, [heading(1, "H"), para("x" * 400), para("x" * 400)], 500, 0, 1000), ["doc_id"]))
-    assert [r.source_label for r in rows] == ["H", "H"]
+def test_a_section_beyond_the_target_keeps_its_label(spark):
+    rows = taken(chunk_prose(frame(spark, [heading(3, "Weir"), para("m" * 70), para("n" * 50), para("o" * 20)], 100, 0, 400), ["doc_id"]))
+    assert [(r.source_label, len(r.text)) for r in rows] == [("Weir", 76), ("Weir", 78)]
 
 
-def test_overlap():
-    texts = ["alpha bravo charlie", "delta echo foxtrot"]
-    assert fill_section(texts, "H", 25, 0, 1000) == ["H\n\nalpha bravo charlie", "H\n\ndelta echo foxtrot"]
-    assert fill_section(texts, "H", 25, 12, 1000)[1] == "H\n\ncharlie\n\ndelta echo foxtrot"
+def test_the_last_words_of_a_full_group_open_the_next():
+    texts = ["the miller grinds rye", "and barley at dusk", "x" * 50, "then sleeps"]
+    assert fill_section(texts[:2], "Mill", 30, 0, 900) == ["Mill\n\nthe miller grinds rye", "Mill\n\nand barley at dusk"]
+    assert fill_section(texts[:2], "", 30, 11, 900)[1] == "grinds rye\n\nand barley at dusk" or fill_section(texts[:2], "", 30, 11, 900)[1] == "rye\n\nand barley at dusk"
+    # A body that stands alone neither takes nor leaves last words.
+    assert fill_section(texts, "", 45, 11, 45) == ["the miller grinds rye\n\nand barley at dusk", "x" * 45, "x" * 5, "then sleeps"]
 
 
 def test_a_paragraph_beyond_the_maximum_is_cut_and_the_crumb_counts():
@@ -57,10 +59,10 @@ def test_mail_anchor(spark):
 
 
 def test_sheet(spark):
-    rows = [{"kind": "SheetRow", "cells": c, "row": r, "sheet": "Q3"} for r, c in ((1, ["Region", "ACV"]), (2, ["EMEA", "41200"]), (5, ["APAC", "80000"]))]
-    got = taken(chunk_sheets(frame(spark, rows, 10, 0, 10000), ["doc_id"]))
-    assert [(r.source_label, r.cell_range) for r in got] == [('Sheet "Q3" summary', "A1:B5"), ('Sheet "Q3" rows 2-2', "A2:B2"), ('Sheet "Q3" rows 5-5', "A5:B5")]
-    assert got[0].text == 'Sheet "Q3" — columns: Region, ACV. 2 data rows.\nSample rows:\nSheet "Q3" | Region: EMEA | ACV: 41200\nSheet "Q3" | Region: APAC | ACV: 80000'
+    rows = [{"kind": "SheetRow", "cells": c, "row": r, "sheet": "Grain"} for r, c in ((3, ["Crop", "Sacks"]), (4, ["rye", "12"]), (9, ["oats", "7"]))]
+    got = taken(chunk_sheets(frame(spark, rows, 30, 0, 9000), ["doc_id"]))
+    assert [(r.source_label, r.cell_range) for r in got] == [('Sheet "Grain" summary', "A3:B9"), ('Sheet "Grain" rows 4-4', "A4:B4"), ('Sheet "Grain" rows 9-9', "A9:B9")]
+    assert got[0].text == 'Sheet "Grain" — columns: Crop, Sacks. 2 data rows.\nSample rows:\nSheet "Grain" | Crop: rye | Sacks: 12\nSheet "Grain" | Crop: oats | Sacks: 7'
 
 
 def test_sheet_rows_that_are_blank_long_or_ragged(spark):
@@ -86,6 +88,37 @@ def test_slides(spark):
     assert [r.source_label for r in two] == ["Slide 1", "Slide 2"]
 
 
+def test_heading_paths_of_any_depth(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [heading(rng.randint(1, 30), f"h{n}") if rng.random() < 0.6 else para(f"p{n}") for n in range(400)]
+    got = heading_paths(frame(spark, rows), ["doc_id"]).orderBy("block_no").collect()
+    open_ones: dict[int, str] = {}
+    for r, found in zip(rows, got):
+        if r.get("kind") == "Heading":
+            open_ones = {k: v for k, v in open_ones.items() if k < r["level"]} | {r["level"]: r["text"]}
+        assert list(found.heading_path) == [open_ones[k] for k in sorted(open_ones)]
+
+
+def test_documents_and_tables_of_blocks_agree(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["rye", "", " ", "sluice gate", "é漢" * 9, "x" * 70, 'q"t\\', None])
+    shapes = {
+        "prose": lambda: heading(rng.randint(0, 12), word()) if rng.random() < 0.3 else para(word(), rng.choice(["Section", "Section", "Email"])),
+        "sheets": lambda: {"kind": "SheetRow", "cells": [word() for _ in range(rng.randint(0, 5))], "row": rng.randint(1, 99), "sheet": rng.choice(["", "a", 'b"'])},
+        "slides": lambda: {"kind": "SlideBody", "text": word(), "slide": rng.randint(1, 6), "anchor": "Slide"},
+    }
+    single = {"prose": chunk_prose, "sheets": chunk_sheets, "slides": chunk_slides}
+    for shape, make in shapes.items():
+        for target, overlap, maximum in ((60, 0, 90), (60, 20, 60), (5000, 10, 6000)):
+            blocks = frame(spark, [make() for _ in range(120)], target, overlap, maximum).withColumn("shape", F.lit(shape))
+            columns = ["idx", "text", "source_label", "anchor_kind", "anchor_code", "slide", "sheet", "cell_range", "heading_path", "token_count"]
+            assert taken(chunk_blocks(blocks, ["doc_id"]).select(columns)) == taken(single[shape](blocks, ["doc_id"]).select(columns)), (shape, target)
+
+
 def test_dispatch_by_shape_and_an_empty_table(spark):
     rows = frame(spark, [para("a")]).withColumn("shape", F.lit("prose"))
     assert chunk_blocks(rows, ["doc_id"]).count() == 1

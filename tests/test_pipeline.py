@@ -38,10 +38,11 @@ def test_one_scan_and_one_parse(spark, tmp_path):
     documents(spark, [("a.html", "", b"<p>x")]).write.parquet(path)
     extracted = extract_documents(spark.read.parquet(path))
     blocks = exploded_blocks(extracted).where("kind = 'Paragraph'")
-    for frame in (blocks, rejects(extracted)):
+    for frame in (blocks, rejects(extracted), parse_documents(spark.read.parquet(path)).chunks):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1
         assert plan.count("ArrowEvalPython") == 1
+        assert "Exchange hash" not in plan
 
 
 def test_frames(spark):
