@@ -36,7 +36,7 @@ def archive_format(data: bytes) -> str:
         for folder, kind in OFFICE_FOLDERS.items():
             if any(n.startswith(folder) for n in archive.members):
                 return kind
-    return "epub" if "META-INF/container.xml" in archive else "UNSUPPORTED: unrecognised zip-based document"
+    return "epub" if "META-INF/container.xml" in archive else "UNSUPPORTED: an archive of no known kind of document"
 
 
 @F.pandas_udf(T.StringType())
@@ -67,8 +67,8 @@ def detect_format(df: DataFrame, *, content_col: str = "content", filename_col:
     named = F.element_at(F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair]), hint(F.col(filename_col), F.col(type_col)))
     kind = F.coalesce(named, F.when(is_html, "html").otherwise("txt"))
     found = (
-        F.when(content.isNull() | (F.octet_length(content) == 0), "INVALID: empty document")
-        .when(starts(OLE2), "UNSUPPORTED: legacy OLE2 binary or encrypted Office file")
+        F.when(content.isNull() | (F.octet_length(content) == 0), "INVALID: no content")
+        .when(starts(OLE2), "UNSUPPORTED: a compound binary file, as old or encrypted office files are")
         .when(starts(ZIP), F.col("__archive") if open_archives else F.lit("zip"))
         .when(starts(RTF), "rtf")
         .otherwise(kind)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import datetime
 import posixpath
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 from blockmill.functions.text import clean, trim
 from blockmill.operators.blocks import HEADING, LIST_ITEM, PARAGRAPH, Block, prose, sheet_row, slide_body
+from blockmill.operators.number_formats import BUILT_IN, shown
 from blockmill.operators.plain_formats import html_blocks
-from blockmill.sources.archives import MAX_ARCHIVE, Archive, invalid, read_xml, resolve
+from blockmill.sources.archives import MAX_ARCHIVE, Archive, Node, each_element, invalid, read_xml, resolve
 
 #: Fixed value: the widest row of an OpenDocument sheet.
 MAX_COLUMNS = 8192
@@ -41,155 +43,141 @@ def style_level(style: str) -> int:
     return min(n, 6) if n > 0 else 0
 
 
+#: Elements that stand for a character, by format.
+_WORD_MARKS = {"tab": " ", "br": "\n", "cr": "\n"}
+_OPEN_MARKS = {"tab": " ", "s": " ", "line-break": "\n"}
+
+
+def _word_paragraphs(node: Node) -> Iterator[list[Node]]:
+    """The leaves of each paragraph of a paragraph: nested ones by themselves, then what follows the last of them."""
+    own: list[Node] = []
+    todo = list(reversed(node.children))
+    while todo:
+        child = todo.pop()
+        if not isinstance(child, Node):
+            continue
+        if child.name == "p":
+            yield from _word_paragraphs(child)
+            own = []
+        elif child.name == "t":
+            own.append(child)
+        else:
+            own.append(child)
+            todo += reversed(child.children)
+    yield own
+
+
 def docx_blocks(data: bytes) -> list[Block]:
+    """Paragraphs: text runs, with tabs and breaks; the style says the level of a heading, numbering makes a list item. Runs that stand in
+    no paragraph count where none follows them."""
     blocks: list[Block] = []
-    held: list[str] = []
-    state = {"style": "", "list": False, "text": False}
-
-    def reset() -> None:
-        held.clear()
-        state.update(style="", list=False)
+    loose: list[Node] = []
+
+    def add(leaves: list[Node]) -> None:
+        body = trim("".join(x.text(_WORD_MARKS) if x.name == "t" else _WORD_MARKS.get(x.name, "") for x in leaves))
+        styles = [x.attributes.get("val", "") for x in leaves if x.name == "pStyle"]
+        level = style_level(styles[-1]) if styles else 0
+        listed = any(x.name == "numPr" for x in leaves)
+        if body:
+            blocks.append(prose(HEADING if level else LIST_ITEM if listed else PARAGRAPH, body, level))
+
+    def take(node: Node) -> None:
+        if node.name != "p":
+            loose.append(node)
+            return
+        loose.clear()
+        for leaves in _word_paragraphs(node):
+            add(leaves)
 
-    def flush() -> None:
-        text, level, listed = trim("".join(held)), style_level(state["style"]), state["list"]
-        reset()
-        if text:
-            blocks.append(prose(HEADING, text, level) if level else prose(LIST_ITEM if listed else PARAGRAPH, text))
-
-    def start(name, attributes, _):
-        if name == "p":
-            reset()
-        elif name == "pStyle":
-            state["style"] = attributes.get("val", "")
-        elif name == "numPr":
-            state["list"] = True
-        elif name == "t":
-            state["text"] = True
-        elif name == "tab":
-            held.append(" ")
-        elif name in ("br", "cr"):
-            held.append("\n")
-
-    def text(piece):
-        if state["text"]:
-            held.append(piece)
-
-    def end(name):
-        if name == "t":
-            state["text"] = False
-        elif name == "p":
-            flush()
-
-    if not read_xml(Archive(data).need("word/document.xml"), start, text, end):
-        raise invalid("malformed docx xml")
-    flush()
+    if not each_element(Archive(data).need("word/document.xml"), ["p", "t", "pStyle", "numPr", *_WORD_MARKS], take):
+        raise invalid("the text of the document is no well-formed XML")
+    add(loose)
     return blocks
 
 
+def _open_paragraphs(node: Node, held: list[str] | None = None) -> Iterator[tuple[Node, str]]:
+    """(element, text) of the paragraphs and headings of one. A paragraph within a paragraph ends both; one within a heading is part of
+    it; a heading always begins anew. What follows such an end is no one's text."""
+    held = [] if held is None else held
+    open_ = True
+
+    def walk(children: list) -> Iterator[tuple[Node, str]]:
+        nonlocal open_
+        for child in children:
+            if isinstance(child, str):
+                if open_:
+                    held.append(child)
+            elif child.name == "h" or child.name == "p" and (node.name == "p" or not open_):
+                yield from _open_paragraphs(child, held if open_ and child.name == "p" else None)
+                open_ = False
+            else:
+                if open_:
+                    held.append(_OPEN_MARKS.get(child.name, ""))
+                yield from walk(child.children)
+
+    yield from walk(node.children)
+    if open_:
+        yield node, "".join(held)
+
+
 def odt_blocks(data: bytes) -> list[Block]:
     blocks: list[Block] = []
-    held: list[str] = []
-    state = {"in": "", "level": 1}
-
-    def start(name, attributes, _):
-        if name == "h":
-            state.update(level=_number(attributes.get("outline-level"), 1))
-            state["in"] = "h"
-            held.clear()
-        elif name == "p":
-            if not state["in"]:
-                state["in"] = "p"
-                held.clear()
-        elif state["in"] and name in ("tab", "s"):
-            held.append(" ")
-        elif state["in"] and name == "line-break":
-            held.append("\n")
-
-    def text(piece):
-        if state["in"]:
-            held.append(piece)
-
-    def end(name):
-        if name in ("h", "p") and state["in"] == name:
-            body = "".join(held)
+
+    def take(outer: Node) -> None:
+        for element, body in _open_paragraphs(outer):
             if trim(body):
-                blocks.append(prose(HEADING, body, _clamped(state["level"])) if name == "h" else prose(PARAGRAPH, body))
-            state["in"] = ""
+                level = _clamped(_number(element.attributes.get("outline-level"), 1)) if element.name == "h" else 0
+                blocks.append(prose(HEADING if level else PARAGRAPH, body, level))
 
-    if not read_xml(Archive(data).need("content.xml"), start, text, end):
-        raise invalid("malformed odt xml")
+    if not each_element(Archive(data).need("content.xml"), ["p", "h"], take):
+        raise invalid("the content of the text is no well-formed XML")
     return blocks
 
 
 # ---- sheets ----
 
+#: Fixed value: the kinds of cells whose stored value is taken instead of the text shown.
+_VALUE_TYPES = ("float", "currency", "percentage")
+
+
+def _open_cells(row: Node) -> list[str]:
+    """The cells of a row in their columns, up to the last that is not blank."""
+    spans: list[tuple[int, int, str]] = []
+    at = 0
+    for cell in row.find("table-cell", "covered-table-cell"):
+        repeat = max(1, _number(cell.attributes.get("number-columns-repeated"), 1))
+        stored = cell.attributes.get("value", "") if cell.attributes.get("value-type") in _VALUE_TYPES else ""
+        value, end = stored or trim(cell.text()), min(at + repeat, MAX_COLUMNS)
+        if value and at < end:
+            spans.append((at, end, value))
+        at += repeat
+    while spans and not trim(spans[-1][2]):
+        spans.pop()
+    cells = [""] * (spans[-1][1] if spans else 0)
+    for start, end, value in spans:
+        cells[start:end] = [value] * (end - start)
+    return cells
+
 
 def ods_blocks(data: bytes) -> list[Block]:
+    """Rows that are not blank, each once, under the number at which its repeats begin."""
     blocks: list[Block] = []
-    cell: list[str] = []
-    s = {"sheet": "", "row": [], "col": 0, "done": 0, "now": 0, "cell": False, "repeat": 1, "value": "", "kind": ""}
+    sheet, number = "", 1
 
-    def start(name, attributes, _):
+    def entered(name: str, attributes: dict[str, str]) -> None:
+        nonlocal sheet, number
         if name == "table":
-            s.update(sheet=attributes.get("name", ""), done=0)
-        elif name == "table-row":
-            s.update(row=[], col=0, now=s["done"] + 1)
-            s["done"] += _number(attributes.get("number-rows-repeated"), 1)
-        elif name in ("table-cell", "covered-table-cell"):
-            cell.clear()
-            s.update(cell=True, repeat=max(1, _number(attributes.get("number-columns-repeated"), 1)), value=attributes.get("value", ""), kind=attributes.get("value-type", ""))
-
-    def text(piece):
-        if s["cell"]:
-            cell.append(piece)
-
-    def end(name):
-        if name in ("table-cell", "covered-table-cell"):
-            s["cell"] = False
-            value = s["value"] if s["value"] and s["kind"] in ("float", "currency", "percentage") else trim("".join(cell))
-            if value:
-                row = s["row"]
-                row += [""] * (min(s["col"], MAX_COLUMNS) - len(row))
-                row += [value] * min(s["repeat"], MAX_COLUMNS - len(row))
-            s["col"] += s["repeat"]
-        elif name == "table-row":
-            row = s["row"]
-            while row and not trim(row[-1]):
-                row.pop()
-            if row:
-                blocks.append(sheet_row(list(row), s["now"], s["sheet"]))
-
-    if not read_xml(Archive(data).need("content.xml"), start, text, end):
-        raise invalid("malformed ods xml")
-    return blocks
+            sheet, number = attributes.get("name", ""), 1
 
+    def take(row: Node) -> None:
+        nonlocal number
+        if cells := _open_cells(row):
+            blocks.append(sheet_row(cells, number, sheet))
+        number += _number(row.attributes.get("number-rows-repeated"), 1)
 
-# Built-in number formats that are rendered.
-_DATES = {14: "%m-%d-%y", 15: "%d-%b-%y", 16: "%d-%b", 17: "%b-%y", 22: "%m/%d/%y %H:%M"}
-_TIMES = {20: "%H:%M", 21: "%H:%M:%S"}
-_PLACES = {1: 0, 2: 2, 3: 0, 4: 2}
-
-
-def rendered(value: str, format_id: int) -> str:
-    """A stored number as a sheet shows it, for general and the commonest built-in formats; others as stored."""
-    try:
-        number = float(value)
-    except ValueError:
-        return value
-    if format_id in _PLACES:
-        return f"{number:{',' if format_id > 2 else ''}.{_PLACES[format_id]}f}"
-    if format_id in (9, 10):
-        return f"{number * 100:.{2 if format_id == 10 else 0}f}%"
-    if format_id in _DATES or format_id in _TIMES:
-        try:
-            moment = datetime.datetime(1899, 12, 30) + datetime.timedelta(seconds=round(number * 86400))
-        except OverflowError:
-            return value
-        return moment.strftime((_DATES | _TIMES)[format_id])
-    if re.search("[eE]", value) or len(value) > 16:
-        short = f"{number:.15g}"
-        return short if "e" not in short else f"{number:.20f}".rstrip("0").rstrip(".") if abs(number) < 1 else f"{number:.0f}"
-    return value
+    if not each_element(Archive(data).need("content.xml"), ["table-row"], take, entered):
+        raise invalid("the content of the sheets is no well-formed XML")
+    return blocks
 
 
 def _place(reference: str | None) -> int | None:
@@ -207,12 +195,12 @@ def _rels(archive: Archive, part: str) -> dict[str, str]:
     """Relationship targets by id, the last of equal ids."""
     out: dict[str, str] = {}
 
-    def start(name, attributes, _):
-        if name == "Relationship" and attributes.get("Id") and attributes.get("Target"):
-            out[attributes["Id"]] = attributes["Target"]
+    def take(node: Node) -> None:
+        if node.attributes.get("Id") and node.attributes.get("Target"):
+            out[node.attributes["Id"]] = node.attributes["Target"]
 
     if part in archive:
-        read_xml(archive.read(part)[0], start)
+        each_element(archive.read(part)[0], ["Relationship"], take)
     return out
 
 
@@ -238,113 +226,82 @@ def _relation_ids(data: bytes, element: str, at_root: str) -> list[tuple[str, di
 
 def _shared_strings(archive: Archive) -> list[str]:
     out: list[str] = []
-    held: list[str] = []
-    s = {"t": False, "skip": 0}
-
-    def start(name, *_):
-        if name == "si":
-            held.clear()
-        elif name == "rPh":
-            s["skip"] += 1
-        elif name == "t":
-            s["t"] = not s["skip"]
-
-    def text(piece):
-        if s["t"]:
-            held.append(piece)
-
-    def end(name):
-        if name == "t":
-            s["t"] = False
-        elif name == "rPh":
-            s["skip"] -= 1
-        elif name == "si":
-            out.append("".join(held))
-
     if "xl/sharedStrings.xml" in archive:
-        read_xml(archive.read("xl/sharedStrings.xml")[0], start, text, end)
+        each_element(archive.read("xl/sharedStrings.xml")[0], ["si"], lambda node: out.append(node.text(within="t", without="rPh")) if node.whole else None)
     return out
 
 
-def _cell_formats(archive: Archive) -> list[int]:
-    out: list[int] = []
-    s = {"in": False}
-
-    def start(name, attributes, _):
-        if name == "cellXfs":
-            s["in"] = True
-        elif name == "xf" and s["in"]:
-            out.append(_number(attributes.get("numFmtId"), 0))
+def _cell_formats(archive: Archive) -> list[str]:
+    """The format code of each cell style."""
+    own: dict[int, str] = {}
+    styles: list[int] = []
 
-    def end(name):
-        if name == "cellXfs":
-            s["in"] = False
+    def take(node: Node) -> None:
+        if node.name == "numFmt":
+            own[_number(node.attributes.get("numFmtId"), -1)] = node.attributes.get("formatCode", "")
+        else:
+            styles.extend(_number(x.attributes.get("numFmtId"), 0) for x in node.find("xf"))
 
     if "xl/styles.xml" in archive:
-        read_xml(archive.read("xl/styles.xml")[0], start, None, end)
-    return out
+        each_element(archive.read("xl/styles.xml")[0], ["numFmt", "cellXfs"], take)
+    return [own.get(n) or BUILT_IN.get(n, "General") for n in styles]
+
+
+class _Book(NamedTuple):
+    strings: list[str]
+    formats: list[str]
+    from_1904: bool
 
 
 def xlsx_blocks(data: bytes) -> list[Block]:
+    """Rows of the sheets that are shown, with values as their formats show them."""
     archive = Archive(data, bounded=False)
     if "xl/workbook.xml" not in archive:
-        raise invalid("open xlsx: no workbook")
-    names: list[tuple[str, str, str]] = [(a.get("name", ""), rid, a.get("state", "")) for rid, a in _relation_ids(archive.need("xl/workbook.xml"), "sheet", "workbook")]
-    rels, strings, formats = _rels(archive, "xl/_rels/workbook.xml.rels"), _shared_strings(archive), _cell_formats(archive)
+        raise invalid("the archive holds no workbook")
+    workbook = archive.need("xl/workbook.xml")
+    dates: list[str] = []
+    each_element(workbook, ["workbookPr"], lambda node: dates.append(node.attributes.get("date1904", "")))
+    book = _Book(_shared_strings(archive), _cell_formats(archive), any(d in ("1", "true") for d in dates))
+    rels = _rels(archive, "xl/_rels/workbook.xml.rels")
     blocks: list[Block] = []
-    for sheet, rid, state in names:
+    for rid, attributes in _relation_ids(workbook, "sheet", "workbook"):
         part = resolve("xl", rels.get(rid, ""))
-        if state in ("hidden", "veryHidden") or part not in archive:
-            continue
-        _sheet_rows(archive.read(part)[0], sheet, strings, formats, blocks)
+        if attributes.get("state") not in ("hidden", "veryHidden") and part in archive:
+            blocks += _sheet_rows(archive.read(part)[0], attributes.get("name", ""), book)
     return blocks
 
 
-def _sheet_rows(data: bytes, sheet: str, strings: list[str], formats: list[int], blocks: list[Block]) -> None:
-    held: list[str] = []
-    s = {"row": 0, "cells": [], "kind": "", "style": 0, "col": 0, "v": False, "skip": 0, "open": False}
-
-    def start(name, attributes, _):
-        if name == "row":
-            s.update(row=_number(attributes.get("r"), s["row"] + 1), cells=[], col=0)
-        elif name == "c":
-            place = _place(attributes.get("r"))
-            s.update(kind=attributes.get("t", "n"), style=_number(attributes.get("s"), 0), col=len(s["cells"]) if place is None else place, open=True)
-            held.clear()
-        elif name == "rPh":
-            s["skip"] += 1
-        elif name in ("v", "t") and s["open"]:
-            s["v"] = not s["skip"] and (name == "v" or s["kind"] == "inlineStr")
-
-    def text(piece):
-        if s["v"]:
-            held.append(piece)
-
-    def end(name):
-        if name in ("v", "t"):
-            s["v"] = False
-        elif name == "rPh":
-            s["skip"] -= 1
-        elif name == "c" and s["open"]:
-            s["open"] = False
-            value, kind = "".join(held), s["kind"]
-            if kind == "s":
-                k = _number(value, -1)
-                value = strings[k] if 0 <= k < len(strings) else value
-            elif kind == "b":
-                value = {"1": "TRUE", "0": "FALSE"}.get(value, value)
-            elif kind == "n" and value:
-                value = rendered(value, formats[s["style"]] if s["style"] < len(formats) else 0)
-            cells = s["cells"]
-            cells += [""] * (s["col"] - len(cells))
-            if s["col"] < len(cells):
-                cells[s["col"]] = value
-            else:
-                cells.append(value)
-        elif name == "row" and any(s["cells"]):
-            blocks.append(sheet_row([clean(c) for c in s["cells"]], s["row"], sheet))
+def _cell_value(cell: Node, book: _Book) -> str:
+    kind, style = cell.attributes.get("t", "n"), _number(cell.attributes.get("s"), 0)
+    if kind == "inlineStr":
+        return "".join(x.text(without="rPh") for x in cell.find("v", "t", "is") if x.name != "is") + "".join(x.text(within="t", without="rPh") for x in cell.find("is"))
+    value = "".join(x.text() for x in cell.find("v"))
+    if kind == "s":
+        at = _number(value, -1)
+        return book.strings[at] if 0 <= at < len(book.strings) else value
+    if kind == "b":
+        return {"1": "TRUE", "0": "FALSE"}.get(value, value)
+    return shown(value, book.formats[style] if style < len(book.formats) else "General", book.from_1904) if kind == "n" and value else value
+
 
-    read_xml(data, start, text, end)
+def _sheet_rows(data: bytes, sheet: str, book: _Book) -> list[Block]:
+    blocks: list[Block] = []
+    last = 0
+
+    def take(row: Node) -> None:
+        nonlocal last
+        last = _number(row.attributes.get("r"), last + 1)
+        cells: list[str] = []
+        for cell in row.find("c"):
+            place = _place(cell.attributes.get("r"))
+            at = len(cells) if place is None else place
+            cells += [""] * (at + 1 - len(cells))
+            cells[at] = clean(_cell_value(cell, book))
+        if row.whole and any(cells):
+            blocks.append(sheet_row(cells, last, sheet))
+
+    each_element(data, ["row"], take)
+    return blocks
 
 
 # ---- slides ----
@@ -369,24 +326,10 @@ def slide_order(archive: Archive) -> list[str]:
 
 
 def _runs(data: bytes) -> str:
-    held: list[str] = []
-    s = {"t": False}
-
-    def start(name, *_):
-        if name == "t":
-            s["t"] = True
-
-    def text(piece):
-        if s["t"]:
-            held.append(piece)
-
-    def end(name):
-        if name == "t":
-            s["t"] = False
-            held.append("\n")
-
-    read_xml(data, start, text, end)
-    return trim("".join(held))
+    """The text runs of a slide, each on a line."""
+    runs: list[str] = []
+    each_element(data, ["t"], lambda node: runs.append(node.text()))
+    return trim("\n".join(runs))
 
 
 def pptx_blocks(data: bytes) -> list[Block]:
@@ -399,76 +342,46 @@ def pptx_blocks(data: bytes) -> list[Block]:
     return blocks
 
 
-def odp_blocks(data: bytes) -> list[Block]:
-    blocks: list[Block] = []
-    held: list[str] = []
-    s = {"page": False, "number": 0}
-
-    def start(name, *_):
-        if name == "page":
-            s.update(page=True, number=s["number"] + 1)
-            held.clear()
+def _page_text(node: Node) -> str:
+    """All text of a page, paragraphs and headings on lines."""
+    parts = (c if isinstance(c, str) else _page_text(c) for c in node.children)
+    return "".join(parts) + ("\n" if node.name in ("p", "h") else "")
 
-    def text(piece):
-        if s["page"]:
-            held.append(piece)
 
-    def end(name):
-        if not s["page"]:
-            return
-        if name in ("p", "h"):
-            held.append("\n")
-        elif name == "page":
-            s["page"] = False
-            body = trim("".join(held))
-            if body:
-                blocks.append(slide_body(body, s["number"]))
-
-    if not read_xml(Archive(data).need("content.xml"), start, text, end):
-        raise invalid("malformed odp xml")
-    return blocks
+def odp_blocks(data: bytes) -> list[Block]:
+    pages: list[str] = []
+    if not each_element(Archive(data).need("content.xml"), ["page"], lambda node: pages.append(trim(_page_text(node)))):
+        raise invalid("the content of the slides is no well-formed XML")
+    return [slide_body(text, number) for number, text in enumerate(pages, 1) if text]
 
 
 # ---- books ----
 
 
 def epub_blocks(data: bytes) -> list[Block]:
+    """The chapters that the spine lists, in its order."""
     archive = Archive(data)
-    package: list[str] = []
-
-    def root(name, attributes, _):
-        if name == "rootfile" and attributes.get("full-path"):
-            package.append(attributes["full-path"])
-
-    if "META-INF/container.xml" in archive:
-        read_xml(archive.read("META-INF/container.xml")[0], root)
-    if not package:
-        raise invalid("epub missing OPF (META-INF/container.xml)")
-    manifest: dict[str, str] = {}
-    spine: list[str] = []
-
-    def item(name, attributes, _):
-        if name == "item" and attributes.get("id") and attributes.get("href"):
-            manifest[attributes["id"]] = attributes["href"]
-        elif name == "itemref" and attributes.get("idref"):
-            spine.append(attributes["idref"])
-
-    if package[0] in archive:
-        read_xml(archive.read(package[0])[0], item)
-    base = posixpath.dirname(package[0])
+    nodes = lambda part, *names: _nodes(archive.read(part)[0], names) if part in archive else []
+    package = next((p for n in nodes("META-INF/container.xml", "rootfile") if (p := n.attributes.get("full-path"))), None)
+    if package is None:
+        raise invalid("the book names no package")
+    listed = nodes(package, "item", "itemref")
+    files = {n.attributes.get("id"): n.attributes["href"] for n in listed if n.name == "item" and n.attributes.get("id") and n.attributes.get("href")}
     blocks: list[Block] = []
     total = 0
-    for ref in spine:
-        if ref not in manifest:
-            continue
-        part = resolve(base, manifest[ref].partition("#")[0])
+    for ref in (n.attributes.get("idref") for n in listed if n.name == "itemref"):
+        part = resolve(posixpath.dirname(package), files[ref].partition("#")[0]) if ref in files else ""
         if part not in archive:
             continue
         body, error = archive.read(part)
-        if error and not body:
-            continue
         total += len(body)
         if total > MAX_ARCHIVE:
-            raise invalid(f"epub exceeds {MAX_ARCHIVE} decompressed bytes")
-        blocks += html_blocks(body)
+            raise invalid(f"the chapters unpack to more than {MAX_ARCHIVE} bytes")
+        blocks += html_blocks(body) if body or not error else []
     return blocks
+
+
+def _nodes(data: bytes, names: tuple[str, ...]) -> list[Node]:
+    out: list[Node] = []
+    each_element(data, names, out.append)
+    return out

@@ -234,7 +234,7 @@ def split_headers(data: bytes, strict: bool) -> tuple[dict[str, str], bytes]:
     headers: dict[str, str] = {}
     at, key = 0, None
     if strict and data[:1] in (b" ", b"\t"):
-        raise invalid("parse email: malformed initial line")
+        raise invalid("the mail does not begin with a header")
     while at < len(data):
         end = data.find(b"\n", at)
         line, following = (data[at:], len(data)) if end < 0 else (data[at:end], end + 1)
@@ -249,7 +249,7 @@ def split_headers(data: bytes, strict: bool) -> tuple[dict[str, str], bytes]:
         name, colon, value = line.partition(b":")
         if not colon:
             if strict:
-                raise invalid("parse email: malformed header line")
+                raise invalid("a header of the mail has no colon")
             key = None
             continue
         name = valid_text(name).rstrip(" \t").lower()
@@ -257,7 +257,7 @@ def split_headers(data: bytes, strict: bool) -> tuple[dict[str, str], bytes]:
         if key is not None:
             headers[key] = valid_text(value).strip(" \t")
     if strict and not headers:
-        raise invalid("parse email: no headers")
+        raise invalid("the mail has no header")
     return headers, b""
 
 
@@ -363,7 +363,7 @@ def rtf_text(data: bytes) -> bytes:
     skip = at = 0
     while at < len(data):
         m = _RTF.match(data, at)
-        if m is None:  # an unfinished escape at the end
+        if m is None or m.end() == len(data) and data[at : at + 2] == b"\\'" and m.group(3) is None:  # an unfinished escape at the end
             break
         at = m.end()
         group = groups[-1]

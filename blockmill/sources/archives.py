@@ -6,6 +6,7 @@ import io
 import posixpath
 import zipfile
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 from xml.parsers import expat
 
 # The bounds on documents and archives.
@@ -35,9 +36,9 @@ class Archive:
             self._zip = zipfile.ZipFile(io.BytesIO(data))
             members = self._zip.infolist()
         except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError, EOFError, IndexError) as e:
-            raise invalid(f"corrupt zip: {e}") from None
+            raise invalid(f"not a readable archive: {e}") from None
         if bounded and len(members) > MAX_MEMBERS:
-            raise invalid(f"zip has too many entries ({len(members)})")
+            raise invalid(f"the archive lists {len(members)} members")
         self.members: dict[str, zipfile.ZipInfo] = {}
         for m in members:
             self.members.setdefault(m.filename, m)
@@ -49,22 +50,22 @@ class Archive:
         """(what could be read, what went wrong). A member that unpacks to more than `limit` is an error."""
         member = self.members[name]
         if member.file_size > limit:
-            return b"", invalid(f"zip entry {name!r} declares {member.file_size} bytes")
+            return b"", invalid(f"member {name!r} says it unpacks to {member.file_size} bytes")
         parts, size = [], 0
         try:
             with self._zip.open(member) as f:
                 while part := f.read(1 << 20):
                     size += len(part)
                     if size > limit:
-                        return b"".join(parts), invalid(f"zip entry {name!r} exceeds {limit} bytes")
+                        return b"".join(parts), invalid(f"member {name!r} unpacks to more than {limit} bytes")
                     parts.append(part)
         except (zipfile.BadZipFile, zlib.error, OSError, ValueError, NotImplementedError, RuntimeError, EOFError) as e:
-            return b"".join(parts), invalid(f"zip entry {name!r}: {e}")
+            return b"".join(parts), invalid(f"member {name!r} cannot be unpacked: {e}")
         return b"".join(parts), None
 
     def need(self, name: str) -> bytes:
         if name not in self:
-            raise invalid(f"missing {name}")
+            raise invalid(f"the archive has no member {name}")
         data, error = self.read(name)
         if error:
             raise error
@@ -121,3 +122,65 @@ def read_xml(data: bytes, start=None, text=None, end=None) -> bool:
     except (expat.ExpatError, UnicodeDecodeError, ValueError):
         return False
     return True
+
+
+class Node:
+    """An element with its attributes by local name; its children are nodes and texts. `whole` once its end tag was read."""
+
+    __slots__ = ("name", "attributes", "children", "whole")
+
+    def __init__(self, name: str, attributes: dict[str, str]):
+        self.name, self.attributes, self.children, self.whole = name, attributes, [], False
+
+    def find(self, *names: str) -> Iterator[Node]:
+        """The outermost elements of these names within this one, in order."""
+        for child in self.children:
+            if isinstance(child, Node):
+                if child.name in names:
+                    yield child
+                else:
+                    yield from child.find(*names)
+
+    def text(self, marks: dict[str, str] | None = None, within: str | None = None, without: str | None = None) -> str:
+        """All text, with marks for the elements that stand for characters; only that within elements of one name, without that of another."""
+        return "".join(self._texts(marks or {}, within, without))
+
+    def _texts(self, marks: dict[str, str], within: str | None, without: str | None) -> Iterator[str]:
+        for child in self.children:
+            if isinstance(child, str):
+                if within is None:
+                    yield child
+            elif child.name != without:
+                yield from (marks[child.name],) if child.name in marks else ()
+                yield from child._texts(marks, None if child.name == within else within, without)
+
+
+def each_element(data: bytes, names: Iterable[str], take: Callable[[Node], None], entered: Callable[[str, dict[str, str]], None] | None = None) -> bool:
+    """Gives the outermost elements of these names to `take`, each as a tree once it ends, or once reading ends within it; `entered` hears
+    of the elements outside them. Whether the document is well-formed."""
+    names, open_nodes = set(names), []
+
+    def start(name, attributes, _):
+        if open_nodes or name in names:
+            node = Node(name, attributes)
+            if open_nodes:
+                open_nodes[-1].children.append(node)
+            open_nodes.append(node)
+        elif entered:
+            entered(name, attributes)
+
+    def text(piece):
+        if open_nodes:
+            open_nodes[-1].children.append(piece)
+
+    def end(_):
+        if open_nodes:
+            node = open_nodes.pop()
+            node.whole = True
+            if not open_nodes:
+                take(node)
+
+    well_formed = read_xml(data, start, text, end)
+    if open_nodes:
+        take(open_nodes[0])
+    return well_formed

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape, quoteattr
 
@@ -85,6 +86,18 @@ def xlsx(sheets: dict[str, list[list[str]]], hidden: tuple[str, ...] = ()) -> by
     return zipped(members)
 
 
+def typed_xlsx(rows: list[list[tuple[str, str | None]]], sheet: str = "s") -> bytes:
+    """Cells of numbers as (stored value, format code or None); what is no number is written as it is."""
+    codes = list(dict.fromkeys(code for row in rows for _, code in row if code))
+    styles = "<styleSheet><numFmts>" + "".join(f"<numFmt numFmtId='{164 + k}' formatCode={quoteattr(c)}/>" for k, c in enumerate(codes)) + "</numFmts><cellXfs><xf numFmtId='0'/>" + "".join(f"<xf numFmtId='{164 + k}'/>" for k in range(len(codes))) + "</cellXfs></styleSheet>"
+    number = re.compile(r"-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?")
+    cell = lambda at, value, code: f'<c r="{at}" s="{codes.index(code) + 1 if code else 0}"' + (f"><v>{value}</v></c>" if number.fullmatch(value) else f' t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>')
+    body = "".join(f'<row r="{r}">' + "".join(cell(_reference(c, r), *v) for c, v in enumerate(row) if v[0]) + "</row>" for r, row in enumerate(rows, 1))
+    book = f"<workbook {R}><sheets><sheet name={quoteattr(sheet)} r:id='rId1'/></sheets></workbook>"
+    rels = "<Relationships><Relationship Id='rId1' Target='/xl/sheet.xml'/></Relationships>"
+    return zipped({"[Content_Types].xml": "<Types/>", "xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/styles.xml": styles, "xl/sheet.xml": f"<worksheet><sheetData>{body}</sheetData></worksheet>"})
+
+
 def epub(chapters: list[str]) -> bytes:
     """XHTML bodies in reading order; their files are numbered the other way round."""
     n = len(chapters)
@@ -115,10 +128,8 @@ def rtf(text: str) -> bytes:
             out.append("\\tab ")
         elif x < 0x80:
             out.append(c)
-        elif x < 0x10000:
-            out.append(f"\\u{x - 65536 if x > 32767 else x}?")
         else:
-            out.append("?")
+            out.append(f"\\u{x - 65536 if 32767 < x < 0x10000 else x}?")
     return ("{\\rtf1\\ansi{\\fonttbl{\\f0 Font;}}\\uc1 " + "".join(out) + "}").encode()
 
 

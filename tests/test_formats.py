@@ -5,7 +5,8 @@ import pytest
 from blockmill.operators.blocks import Block
 from blockmill.operators.detect import archive_format, hint_of
 from blockmill.operators.extract import blocks_of
-from blockmill.operators.office_formats import rendered, style_level
+from blockmill.operators.number_formats import BUILT_IN, shown as shown_number
+from blockmill.operators.office_formats import style_level
 from blockmill.sources import builders as make
 from blockmill.sources.archives import Archive, Rejected, resolve
 
@@ -23,19 +24,19 @@ def cells(kind, data):
 
 
 def test_text():
-    assert texts("txt", b"First paragraph.\n\nSecond paragraph.") == ["First paragraph.", "Second paragraph."]
+    assert texts("txt", b"The mill stood idle.\r\n\r\n  Rain came \n\n\n\nat last.") == ["The mill stood idle.", "Rain came", "at last."]
 
 
 def test_delimited_rows():
-    assert cells("csv", b"Region,Stage,ACV\nEMEA,Negotiation,41200\n\nAPAC,Won,80000") == [(1, ["Region", "Stage", "ACV"]), (2, ["EMEA", "Negotiation", "41200"]), (3, ["APAC", "Won", "80000"])]
+    assert cells("csv", b"Crop,Sacks\nrye,12\n\noats,7,wet\nbran") == [(1, ["Crop", "Sacks"]), (2, ["rye", "12"]), (3, ["oats", "7", "wet"]), (4, ["bran"])]
     assert cells("csv", b'a"b,"c ""d"" e"\r\n"x\r\ny",') == [(1, ['a"b', 'c "d" e']), (2, ["x\ny", ""])]
     assert cells("csv", b'"a"b,c') == [(1, ['a"b,c'])]
     assert cells("tsv", b"a\tb,c\n d ") == [(1, ["a", "b,c"]), (2, [" d "])]
 
 
 def test_html_blocks():
-    page = b"<html><head><style>x{}</style><title>t</title></head><body><h2>Auth</h2><p>Use <b>SSO</b> to<br>sign in.</p></body></html>"
-    assert shown("html", page) == [("Heading", 2, "Auth"), ("Paragraph", 0, "Use SSO tosign in.")]
+    page = b"<html><head><title>no</title><style>p{}</style></head><body><h4>Sluice</h4><p>Lift the <i>gate</i> and<br>wait.</p></body></html>"
+    assert shown("html", page) == [("Heading", 4, "Sluice"), ("Paragraph", 0, "Lift the gate andwait.")]
 
 
 def test_html_implied_ends_and_dropped_text():
@@ -46,9 +47,11 @@ def test_html_implied_ends_and_dropped_text():
 
 
 def test_docx():
-    found = shown("docx", make.docx([("Heading1", "Onboarding Guide"), ("Heading2", "Authentication"), ("", "Use SSO\nto sign in."), ("List", "item"), ("", " ")]))
-    assert found == [("Heading", 1, "Onboarding Guide"), ("Heading", 2, "Authentication"), ("Paragraph", 0, "Use SSO\nto sign in."), ("ListItem", 0, "item")]
-    assert blocks_of("docx", make.zipped({"word/document.xml": "<d><p><t>a &undefined; b</t></p></d>"}))[1] == "INVALID"
+    found = shown("docx", make.docx([("Title", "The mill"), ("heading 4", "Wheel"), ("", "Oil it\nweekly."), ("List", "grease"), ("Quote", "So be it."), ("", " ")]))
+    assert found == [("Heading", 1, "The mill"), ("Heading", 4, "Wheel"), ("Paragraph", 0, "Oil it\nweekly."), ("ListItem", 0, "grease"), ("Paragraph", 0, "So be it.")]
+    boxed = "<d><p><pStyle val='Heading2'/><t>lost</t><box><p><t>in</t><tab/><t>box</t></p></box><t>after</t></p><t>loose</t></d>"
+    assert shown("docx", make.zipped({"word/document.xml": boxed})) == [("Paragraph", 0, "in box"), ("Paragraph", 0, "after"), ("Paragraph", 0, "loose")]
+    assert blocks_of("docx", make.zipped({"word/document.xml": "<d><p><t>&grain;</t></p></d>"}))[1] == "INVALID"
     assert blocks_of("docx", make.zipped({"x": "y"}))[1] == "INVALID"
 
 
@@ -60,34 +63,56 @@ def test_open_document_text():
     assert shown("odt", make.odt([(1, "Top"), (9, "Deep"), (0, "a\nb")])) == [("Heading", 1, "Top"), ("Heading", 6, "Deep"), ("Paragraph", 0, "a\nb")]
 
 
-def test_open_document_sheet_keeps_column_places():
-    body = '<t:table t:name="Q3"><t:table-row t:number-rows-repeated="2"/><t:table-row><t:table-cell><p>A</p></t:table-cell><t:table-cell t:number-columns-repeated="3"/><t:table-cell t:value-type="float" t:value="41200"><p>41,200</p></t:table-cell><t:table-cell t:number-columns-repeated="9999"/></t:table-row></t:table>'
-    assert cells("ods", make.zipped({"content.xml": f"<d>{body}</d>"})) == [(3, ["A", "", "", "", "41200"])]
+def test_open_document_text_within_text():
+    body = "<d><p>one<note><p>two</p></note>lost</p><h outline-level='2'>a<p>b</p>c</h><list><p>x<s/>y</p></list></d>"
+    assert shown("odt", make.zipped({"content.xml": body})) == [("Paragraph", 0, "onetwo"), ("Heading", 2, "abc"), ("Paragraph", 0, "x y")]
+
+
+def test_open_document_sheet_keeps_places():
+    body = "<table name='Grain'><table-row number-rows-repeated='4'/><table-row><table-cell number-columns-repeated='2'><p>rye</p></table-cell><covered-table-cell number-columns-repeated='2'/><table-cell value-type='percentage' value='0.5'><p>50 %</p></table-cell><table-cell value-type='date' value='x'><p>May</p></table-cell><table-cell number-columns-repeated='9000'/></table-row><table-row><table-cell/></table-row></table>"
+    assert cells("ods", make.zipped({"content.xml": f"<d>{body}</d>"})) == [(5, ["rye", "rye", "", "", "0.5", "May"])]
+    wide = "<table><table-row><table-cell number-columns-repeated='9999'><p>z</p></table-cell></table-row></table>"
+    assert [(n, len(row)) for n, row in cells("ods", make.zipped({"content.xml": wide}))] == [(1, 8192)]
 
 
 def test_sheet_formats():
-    book = make.xlsx({"Sheet1": [["Region", "ACV"], [], ["", "41200"]], "Off": [["x"]]}, hidden=("Off",))
-    assert cells("xlsx", book) == [(1, ["Region", "ACV"]), (3, ["", "41200"])]
-    assert [rendered("0.5", n) for n in (0, 2, 9, 10)] == ["0.5", "0.50", "50%", "50.00%"]
-    assert rendered("45000", 14) == "03-15-23"
+    book = make.xlsx({"Grain": [["Crop", "Sacks"], [], ["", "12"]], "Off": [["x"]]}, hidden=("Off",))
+    assert cells("xlsx", book) == [(1, ["Crop", "Sacks"]), (3, ["", "12"])]
+    typed = make.typed_xlsx([[("45000", "yyyy-mm-dd"), ("0.125", "0.0%"), ("41200", "#,##0.00"), ("1.5", None)]])
+    assert cells("xlsx", typed) == [(1, ["2023-03-15", "12.5%", "41,200.00", "1.5"])]
+    rich = "<worksheet><row><c t='inlineStr'><is><r><t>a</t></r><rPh><t>no</t></rPh><r><t>b</t></r></is></c><c t='b'><v>1</v></c><c r='E1' t='str'><f>x</f><v>s</v></c></row><row><c><v>cut"
+    assert cells("xlsx", make.zipped({"xl/workbook.xml": f"<workbook {make.R}><sheet name='s' r:id='a'/></workbook>", "xl/_rels/workbook.xml.rels": "<r><Relationship Id='a' Target='w.xml'/></r>", "xl/w.xml": rich})) == [(1, ["ab", "TRUE", "", "", "s"])]
+
+
+@pytest.mark.parametrize(
+    ("value", "code", "text"),
+    [
+        ("0.5", 0, "0.5"), ("0.5", 2, "0.50"), ("0.5", 9, "50%"), ("0.5", 10, "50.00%"), ("45000", 14, "03-15-23"), ("45000", 15, "15-Mar-23"), ("45000.5", 22, "3/15/23 12:00"),
+        ("12345", 11, "1.23E+04"), ("0.25", 12, "1/4"), ("-1234.5", 39, "(1,234.50)"), ("-1234.5", 44, " $(1,234.50)"), ("1.5", 46, "36:00:00"), ("0.001", 47, "01:26.4"), ("12345", 48, "12.3E+3"), ("text", 4, "text"),
+        ("45000.75", "d/m/yyyy h:mm AM/PM", "15/3/2023 6:00 PM"), ("45000", "dddd, mmmm d", "Wednesday, March 15"), ("1234567", '0.0,,"M"', "1.2M"), ("5", "[$€-407] 0.00", "€ 5.00"), ("5551234", "000-0000", "555-1234"),
+        ("-0.001", "0.00", "0.00"), ("0.3333", "# ?/8", "3/8"), ("-12", "0;;;", ""), ("3", "0.##", "3."), ("0.5", "mm:ss", "00:00"), ("2", "@", "2"), ("1E-7", "General", "0.0000001"), ("0.30000000000000004", 0, "0.3"), ("1e400", 2, "1e400"),
+    ],
+)
+def test_number_formats(value, code, text):
+    assert shown_number(value, BUILT_IN[code] if isinstance(code, int) else code) == text
 
 
 def test_slides_come_in_order_of_presentation():
-    assert [(b.slide, b.text) for b in blocks_of("pptx", make.pptx(["First", "", "Second"]))[0]] == [(1, "First"), (3, "Second")]
+    assert [(b.slide, b.text) for b in blocks_of("pptx", make.pptx(["Weir", "", "Sluice\nGate"]))[0]] == [(1, "Weir"), (3, "Sluice\nGate")]
     loose = make.zipped({"ppt/slides/slide10.xml": "<s><t>ten</t></s>", "ppt/slides/slide2.xml": "<s><t>two</t><t>broken", "[Content_Types].xml": ""})
-    assert [(b.slide, b.text) for b in blocks_of("pptx", loose)[0]] == [(1, "two"), (2, "ten")] or [b.slide for b in blocks_of("pptx", loose)[0]] == [1, 2]
+    assert [(b.slide, b.text) for b in blocks_of("pptx", loose)[0]] == [(1, "two"), (2, "ten")]
     assert [(b.slide, b.text) for b in blocks_of("odp", make.odp(["one\ntwo", "", "three"]))[0]] == [(1, "one\ntwo"), (3, "three")]
 
 
 def test_book_follows_its_spine():
-    assert shown("epub", make.epub(["<h1>Chapter One</h1><p>a</p>", "<p>b</p>"])) == [("Heading", 1, "Chapter One"), ("Paragraph", 0, "a"), ("Paragraph", 0, "b")]
+    assert shown("epub", make.epub(["<h1>Of wheels</h1><p>a</p>", "<p>b</p>"])) == [("Heading", 1, "Of wheels"), ("Paragraph", 0, "a"), ("Paragraph", 0, "b")]
     assert blocks_of("epub", make.zipped({"META-INF/container.xml": "<c/>"}))[1] == "INVALID"
 
 
 def test_mail_without_quotes_and_signature():
-    message = b"From: a@b\r\nSubject: s\r\n\r\nNew line\r\n> quoted\r\n\r\nSecond.\r\n-- \r\nName"
+    message = b"From: cid@weir.example\r\nSubject: oats\r\n\r\nSend nine.\r\n > send ten?\r\n\r\nBy rail.\r\n-- \r\nCid"
     found = blocks_of("eml", message)[0]
-    assert [(b.text, b.anchor_kind) for b in found] == [("New line", "Email"), ("Second.", "Email")]
+    assert [(b.text, b.anchor_kind) for b in found] == [("Send nine.", "Email"), ("By rail.", "Email")]
     assert texts("eml", make.eml("the body")) == ["the body"]
     assert texts("eml", make.eml("<p>hi</p>", html=True)) == ["hi"]
     assert blocks_of("eml", b"no header\n\nx")[1] == "INVALID"
@@ -97,8 +122,9 @@ def test_mail_without_quotes_and_signature():
 
 
 def test_rtf():
-    assert texts("rtf", rb"{\rtf1{\fonttbl{\f0 Arial;}}\b Hello\b0  world\par\par Second line.}") == ["Hello world", "Second line."]
-    assert texts("rtf", rb"A\u8226?B\'e9 \uc0\u-10179 x\{y\}") == ["A•Bé �x{y}"]
+    assert texts("rtf", rb"{\rtf1{\colortbl;}{\fonttbl{\f1 Slab;}}\i Wet\i0  oats\par\par Dry rye.}") == ["Wet oats", "Dry rye."]
+    assert texts("rtf", rb"{\rtf1 cut\'4") == ["cut"]
+    assert texts("rtf", rb"Q\u8226?B\'e9 \uc0\u-10179 x\{y\}") == ["Q•Bé �x{y}"]
     assert texts("rtf", rb"{\*\generator no}{\info no}a\~b\-1c\line d") == ["a~bc\nd"]
 
 
