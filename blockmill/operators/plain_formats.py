@@ -363,7 +363,7 @@ def rtf_text(data: bytes) -> bytes:
     skip = at = 0
     while at < len(data):
         m = _RTF.match(data, at)
-        if m is None or m.end() == len(data) and data[at : at + 2] == b"\\'" and m.group(3) is None:  # an unfinished escape at the end
+        if m is None or data[at : at + 2] == b"\\'" and m.group(3) is None:  # an unfinished escape at the end
             break
         at = m.end()
         group = groups[-1]

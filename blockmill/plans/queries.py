@@ -77,9 +77,14 @@ def _decks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", F.transform("x", lambda s: s["text"]).alias("parts"))
 
 
+#: Rows of a sheet that is written for a round trip; a sheet of any table is of bounded size.
+SHEET_ROWS = 1000
+
+
 def _customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each nation: a header and its customers, cells joined by a separator."""
-    rows = read_table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("bigint").alias("doc_id"), "c_custkey", F.concat_ws("\x1f", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("line"))
+    """Sheets of the customers of each nation, by ranges of keys: a header and rows, cells joined by a separator."""
+    sheet = F.floor(F.col("c_custkey") / SHEET_ROWS) * 100 + F.col("c_nationkey")
+    rows = read_table(spark, sf_dir, "customer").select(sheet.cast("bigint").alias("doc_id"), "c_custkey", F.concat_ws("\x1f", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("line"))
     grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "line"))).alias("x"))
     return grouped.select("doc_id", F.concat(F.array(F.lit("key\x1fname\x1fsegment")), F.transform("x", lambda r: r["line"])).alias("parts"))
 
@@ -119,7 +124,7 @@ def strip_quoted(spark, sf_dir):
 def detect_formats(spark, sf_dir):
     uploads = read_table(spark, sf_dir, "uploads").where("content_bytes IS NOT NULL")
     found = detect_format(uploads, content_col="content_bytes")
-    return found.where("NOT startswith(content_bytes, X'504B0304')").select("upload_id", F.coalesce("format", "reject_code").alias("found")).distinct()
+    return found.select("upload_id", F.coalesce("format", "reject_code").alias("found")).distinct()
 
 
 # ---- chunkers ----
@@ -200,9 +205,9 @@ def upload_chunks(spark, sf_dir):
 
 
 def html_paragraphs(spark, sf_dir):
-    """Texts of the blocks of HTML uploads."""
-    uploads = read_table(spark, sf_dir, "uploads").where("content_bytes IS NOT NULL AND octet_length(content_bytes) > 0 AND filename LIKE '%.html'")
-    rows = exploded_blocks(extract_documents(uploads, id_col="upload_id", content_col="content_bytes"), "upload_id")
+    """Texts of the blocks of uploads that are HTML by name, declared type or content."""
+    uploads = latest_rows(read_table(spark, sf_dir, "uploads").where("content_bytes IS NOT NULL"), ["upload_id"], "received_at", ["upload_id", "filename", "content_type", "content_bytes"])
+    rows = exploded_blocks(extract_documents(uploads, id_col="upload_id", content_col="content_bytes"), "upload_id").where("format = 'html'")
     return rows.select("upload_id", "block_no", "text").distinct()
 
 
@@ -237,13 +242,22 @@ def rejected_documents(spark, sf_dir):
 
 
 def relationship_join(spark, sf_dir):
-    """Slides in the order in which their relationship ids are listed, whatever their part names: an id that is declared twice
-    means its last target, one that is not declared is left out."""
-    blocks = upload_blocks(spark, sf_dir, ["Slide"]).select("upload_id", "block_no", "slide")
-    listed = blocks.select("upload_id", F.col("block_no").alias("place"), F.concat(F.lit("rId"), F.col("block_no").cast("string")).alias("rid"))
-    declared = blocks.where("block_no % 5 <> 0").select("upload_id", F.concat(F.lit("rId"), F.col("block_no").cast("string")).alias("rid"), F.col("block_no").alias("n"), F.concat(F.lit("slides/slide"), F.col("slide").cast("string"), F.lit(".xml")).alias("target"))
-    targets = declared.groupBy("upload_id", "rid").agg(F.max_by("target", "n").alias("target"))
-    return listed.join(targets, ["upload_id", "rid"]).select("upload_id", "place", "target")
+    """Decks whose slide numbers are the relationship ids: one that is declared for several blocks means the last of them, one of a slide with
+    a block of many words is not declared and left out."""
+    blocks = upload_blocks(spark, sf_dir, ["Slide"]).select("upload_id", "block_no", F.concat(F.lit("r"), F.col("slide").cast("string")).alias("rid"), F.coalesce(F.array_join(_lines(), " "), F.lit("")).alias("text")).where("text <> ''")
+    known = blocks.groupBy("upload_id", "rid").agg(F.max(F.length("text")).alias("longest"))
+    rows = blocks.join(known, ["upload_id", "rid"]).groupBy(F.col("upload_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("block_no", "rid", "text", "longest"))).alias("x"))
+    parts = rows.select("doc_id", F.transform("x", lambda r: F.concat_ws("\x1f", r["block_no"].cast("string"), r["rid"], F.when(r["longest"] < LONG_SLIDE, "declared").otherwise("not"), r["text"])).alias("parts"))
+
+    def build(lines: list[str]) -> bytes:
+        held = [line.split("\x1f") for line in lines]
+        return builders.pptx_linked(list(dict.fromkeys(rid for _, rid, _, _ in held)), [(rid, f"p{no}.xml") for no, rid, said, _ in held if said == "declared"], {f"p{no}.xml": text for no, _, _, text in held})
+
+    return _extracted(_built(parts, build)).select("doc_id", "slide", "text")
+
+
+#: Characters of a slide's longest block from which relationship_join leaves it undeclared.
+LONG_SLIDE = 150
 
 
 # ---- round trips ----
@@ -287,6 +301,20 @@ def _deck_trip(spark, sf_dir, builder):
     return _extracted(_built(_decks(spark, sf_dir), builder)).select("doc_id", "slide", "text")
 
 
+def docx_styles_roundtrip(spark, sf_dir):
+    """Headings, list items and paragraphs of uploads by their styles."""
+    blocks = upload_blocks(spark, sf_dir, ["Section"]).select(F.col("upload_id").alias("doc_id"), "block_no", "kind", "block_level", F.array_join(_lines(), " ").alias("text")).where("text <> ''")
+    style = F.when(F.col("kind") == "Heading", F.concat(F.lit("heading "), F.col("block_level").cast("string"))).when(F.col("kind") == "ListItem", "List").otherwise("")
+    rows = blocks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", F.concat_ws("\x1f", style, "text").alias("line")))).alias("x"))
+    made = _built(rows.select("doc_id", F.transform("x", lambda r: r["line"]).alias("parts")), lambda p: builders.docx([tuple(line.split("\x1f")) for line in p]))
+    return _extracted(made).select("doc_id", "block_no", "kind", "block_level", "text")
+
+
+def eml_quoted_printable(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array("text").alias("parts"))
+    return _extracted(_built(docs, lambda p: builders.eml(p[0].replace("\r\n", "\n"), quoted_printable=True), "m.eml")).select("doc_id", "block_no", "text")
+
+
 def odp_roundtrip(spark, sf_dir):
     return _deck_trip(spark, sf_dir, builders.odp)
 
@@ -295,6 +323,11 @@ def pptx_order_roundtrip(spark, sf_dir):
     return _deck_trip(spark, sf_dir, builders.pptx)
 
 
+def pptx_file_order(spark, sf_dir):
+    """Decks without a presentation part: slides by the numbers in their names."""
+    return _deck_trip(spark, sf_dir, builders.pptx_loose)
+
+
 def _sheet_trip(spark, sf_dir, builder, filename: str = ""):
     return _extracted(_built(_customer_rows(spark, sf_dir), builder, filename)).select("doc_id", "row_no", F.array_join("cells", "|").alias("line"))
 
@@ -315,6 +348,30 @@ def xlsx_roundtrip(spark, sf_dir):
     return _sheet_trip(spark, sf_dir, lambda p: builders.xlsx({"s": _grid(p)}))
 
 
+def _line_cells(spark, sf_dir, table: str, key: str, cells: list[Column], order: list[str]) -> DataFrame:
+    """Sheets of a table by ranges of its key, cells joined by a separator."""
+    rows = read_table(spark, sf_dir, table).select(F.floor(F.col(key) / SHEET_ROWS).cast("bigint").alias("doc_id"), *order, F.concat_ws("\x1f", *cells).alias("line"))
+    return rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*order, "line"))).alias("x")).select("doc_id", F.transform("x", lambda r: r["line"]).alias("parts"))
+
+
+def xlsx_typed_roundtrip(spark, sf_dir):
+    """Quantities, percentages, prices and dates of order lines, stored as numbers and shown by their format codes."""
+    days = F.datediff(F.col("l_shipdate"), F.lit("1899-12-30").cast("date")).cast("string")
+    columns = [F.col("l_orderkey").cast("string"), *[F.col(c).cast("string") for c in ("l_quantity", "l_discount", "l_extendedprice")], days, days]
+    rows = _line_cells(spark, sf_dir, "lineitem", "l_orderkey", columns, ["l_orderkey", "l_linenumber"])
+    codes = [None, "0.0", "0%", "#,##0.00", "yyyy-mm-dd", "d-mmm-yy"]
+    made = _built(rows, lambda p: builders.typed_xlsx([list(zip(line.split("\x1f"), codes)) for line in p]))
+    return _extracted(made).select("doc_id", "row_no", F.array_join("cells", "|").alias("line"))
+
+
+def ods_values_roundtrip(spark, sf_dir):
+    """Parts with a repeated cell, an empty one, and a stored price under a text that only shows it."""
+    rows = _line_cells(spark, sf_dir, "part", "p_partkey", [F.col("p_partkey").cast("string"), F.col("p_brand"), F.col("p_size").cast("string")], ["p_partkey"])
+    row = lambda key, brand, size: [(brand, "", 3), ("", "", 2), (f"about {size}", size, 1), (key, "", 1), ("", "", 500)]
+    made = _built(rows, lambda p: builders.ods_values([row(*line.split("\x1f")) for line in p]))
+    return _extracted(made).select("doc_id", "row_no", F.array_join("cells", "|").alias("line"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -323,6 +380,7 @@ QUERIES: dict[str, Query] = {
         *(sheet_rows_serialized, sheet_summary, sheet_chunks, slide_chunks, customer_sheets),
         *(upload_chunks, html_paragraphs, framed_uploads, rejected_documents, relationship_join),
         *(docx_roundtrip, odt_roundtrip, rtf_roundtrip, epub_roundtrip, html_roundtrip, eml_roundtrip),
+        *(docx_styles_roundtrip, eml_quoted_printable, pptx_file_order, xlsx_typed_roundtrip, ods_values_roundtrip),
         *(odp_roundtrip, pptx_order_roundtrip, csv_roundtrip, tsv_roundtrip, ods_roundtrip, xlsx_roundtrip),
     )
 }
@@ -349,22 +407,22 @@ _TOKENS = "CAST(CASE WHEN strlen({0}) = 0 THEN 0 ELSE greatest(1, strlen({0}) //
 
 _SIZES = """
     sizes AS (
-        SELECT upload_id, target, greatest(CASE WHEN max_chars > 0 THEN max_chars ELSE 6000 END, target) AS most FROM (
+        SELECT upload_id, target, overlap_chars AS asked, greatest(CASE WHEN max_chars > 0 THEN max_chars ELSE 6000 END, target) AS most FROM (
             SELECT *, CASE WHEN target_chars > 0 THEN target_chars ELSE 5500 END AS target, row_number() OVER (PARTITION BY upload_id ORDER BY received_at DESC) AS n FROM uploads)
         WHERE n = 1),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC) AS n FROM blocks) WHERE n = 1)"""
 
 
-def _cut_sql(source: str, keys: str, limit: str) -> str:
+def _cut_sql(source: str, keys: str, limit: str, made: str = "pieces") -> str:
     """Recursive pieces of at most `limit` bytes of the rows (keys, text) of `source`: pieces(keys, piece, n)."""
     fit = f"substring(rest, 1, list_max(list_filter(range(least({limit}, length(rest)) // 4, least({limit}, length(rest)) + 1), lambda k: strlen(substring(rest, 1, CAST(k AS INTEGER))) <= {limit})))"
     return f"""
-    cut AS (
+    {made}_cut AS (
         SELECT {keys}, CASE WHEN strlen(text) <= {limit} THEN text END AS whole, text AS rest, CAST('' AS VARCHAR) AS piece, CAST(-1 AS INTEGER) AS n FROM {source}
         UNION ALL
-        SELECT {keys}, NULL, substring(rest, length(p) + 1), p, n + 1 FROM (SELECT *, CASE WHEN strlen(rest) <= {limit} THEN rest ELSE {fit} END AS p FROM cut WHERE rest <> '')
+        SELECT {keys}, NULL, substring(rest, length(p) + 1), p, n + 1 FROM (SELECT *, CASE WHEN strlen(rest) <= {limit} THEN rest ELSE {fit} END AS p FROM {made}_cut WHERE rest <> '')
     ),
-    pieces AS (SELECT {keys}, piece, n FROM cut WHERE n >= 0)"""
+    {made} AS (SELECT {keys}, piece, n FROM {made}_cut WHERE n >= 0)"""
 
 
 def _prose_sql(items: str, target: int, most: int, extra: str = "") -> str:
@@ -385,6 +443,46 @@ def _prose_sql(items: str, target: int, most: int, extra: str = "") -> str:
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp, n) - 1 AS INTEGER) AS idx, piece AS text, {_TOKENS.format("piece")} AS token_count{extra} FROM pieces"""
 
 
+def _closing_sql(x: str, size: str) -> str:
+    """The last words of x, of at most `size` bytes."""
+    end = f"right({x}, list_max(list_filter(range(CAST({size} // 4 AS BIGINT), CAST({size} + 1 AS BIGINT)), lambda k: strlen(right({x}, CAST(k AS INTEGER))) <= {size})))"
+    words = f"CASE WHEN regexp_matches({end}, '^[^ \\n\\t]*[ \\n\\t](?s:.)') THEN regexp_replace({end}, '^[^ \\n\\t]*[ \\n\\t]', '') ELSE {end} END"
+    return f"CASE WHEN {size} <= 0 THEN '' WHEN strlen({x}) <= {size} THEN {_trim(x)} ELSE {_trim(words)} END"
+
+
+def _filled_sql(keys: str) -> str:
+    """Bodies of sections, filled with overlap: filled(keys, label, target, most, overlap, grp, body, alone) from
+    numbered(keys, label, target, most, overlap, k, t), where k counts the bodies of a section."""
+    same = " AND ".join(f"x.{key} = f.{key}" for key in keys.split(", "))
+    new = "(NOT f.open OR strlen(x.t) > x.most OR f.held + strlen(x.t) > x.target)"
+    tail = f"CASE WHEN f.open AND strlen(x.t) <= x.most THEN {_closing_sql('f.body', 'x.overlap')} ELSE '' END"
+    names = ", ".join(f"x.{key}" for key in keys.split(", "))
+    return f"""
+    fold AS (
+        SELECT {keys}, label, target, most, overlap, k, 0 AS grp, t AS body, strlen(t) AS held, strlen(t) <= most AS open FROM numbered WHERE k = 1
+        UNION ALL
+        SELECT {names}, x.label, x.target, x.most, x.overlap, x.k, f.grp + CAST({new} AS INTEGER),
+               CASE WHEN NOT {new} THEN f.body || chr(10) || chr(10) || x.t WHEN {tail} <> '' THEN {tail} || chr(10) || chr(10) || x.t ELSE x.t END,
+               CASE WHEN {new} THEN strlen(x.t) + strlen({tail}) ELSE f.held + strlen(x.t) END, strlen(x.t) <= x.most
+        FROM fold f JOIN numbered x ON {same} AND x.k = f.k + 1),
+    filled AS (SELECT {keys}, label, target, most, overlap, grp, max_by(body, k) AS body, NOT bool_and(open) AS alone FROM fold GROUP BY ALL)"""
+
+
+_SECTIONS = f"""
+    p AS (
+        SELECT b.upload_id, block_no, kind, anchor_kind, greatest(coalesce(block_level, 1), 1) AS lv, {_trim("coalesce(text, '')")} AS t, coalesce(target, 5500) AS target, coalesce(most, 6000) AS most,
+               least(greatest(coalesce(asked, 0), 0), coalesce(target, 5500) - 1) AS overlap, row_number() OVER (PARTITION BY b.upload_id ORDER BY block_no) AS n
+        FROM b LEFT JOIN sizes USING (upload_id) WHERE anchor_kind IN ('Section', 'Email')),
+    walk AS (
+        SELECT upload_id, n, CAST(kind = 'Heading' AS INTEGER) AS section, CASE WHEN kind = 'Heading' THEN list_concat(list_transform(range(lv - 1), lambda x: ''), [t]) ELSE CAST([] AS VARCHAR[]) END AS path FROM p WHERE n = 1
+        UNION ALL
+        SELECT p.upload_id, p.n, w.section + CAST(p.kind = 'Heading' AS INTEGER),
+               CASE WHEN p.kind = 'Heading' THEN list_concat(list_transform(range(1, p.lv), lambda k: coalesce(w.path[k], '')), [p.t]) ELSE w.path END
+        FROM walk w JOIN p ON p.upload_id = w.upload_id AND p.n = w.n + 1),
+    numbered AS (
+        SELECT upload_id, section, array_to_string(list_filter(path, lambda x: x <> ''), ' › ') AS label, target, most, overlap, row_number() OVER (PARTITION BY upload_id, section ORDER BY n) AS k, t
+        FROM walk JOIN p USING (upload_id, n) WHERE kind <> 'Heading' AND t <> '')"""
+
 _PARAGRAPH_ITEMS = f"items AS (SELECT doc_id, unnest(generate_series(1, len(p))) AS n, unnest(p) AS t FROM (SELECT doc_id, {_paragraphs_sql('text')} AS p FROM documents WHERE text <> ''))"
 _LINE_ITEMS = f"items AS (SELECT doc_id, unnest(generate_series(1, len(p))) AS n, unnest(p) AS t FROM (SELECT doc_id, {_lines_sql('text')} AS p FROM documents WHERE text IS NOT NULL))"
 
@@ -398,9 +496,10 @@ _DECK_TRIP = f"""
     WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC) AS n FROM blocks) WHERE n = 1 AND kind = 'SlideBody')
     SELECT upload_id AS doc_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY block_no) AS INTEGER) AS slide, t AS text
     FROM (SELECT upload_id, block_no, array_to_string({_lines_sql('text')}, chr(10)) AS t FROM b WHERE text IS NOT NULL) WHERE t <> ''"""
-_SHEET_TRIP = """
-    SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(1 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS row_no, concat_ws('|', c_custkey, c_name, c_mktsegment) AS line FROM customer
-    UNION ALL SELECT DISTINCT CAST(c_nationkey AS BIGINT), 1, 'key|name|segment' FROM customer"""
+_SHEET_KEY = "CAST(c_custkey // 1000 * 100 + c_nationkey AS BIGINT)"
+_SHEET_TRIP = f"""
+    SELECT {_SHEET_KEY} AS doc_id, CAST(1 + row_number() OVER (PARTITION BY {_SHEET_KEY} ORDER BY c_custkey) AS INTEGER) AS row_no, concat_ws('|', c_custkey, c_name, c_mktsegment) AS line FROM customer
+    UNION ALL SELECT DISTINCT {_SHEET_KEY}, 1, 'key|name|segment' FROM customer"""
 
 _LETTER = "CASE WHEN {0} < 26 THEN chr(65 + {0}) WHEN {0} < 702 THEN chr(65 + ({0} - 26) // 26) || chr(65 + ({0} - 26) % 26) ELSE chr(65 + ({0} - 702) // 676) || chr(65 + ({0} - 702) // 26 % 26) || chr(65 + ({0} - 702) % 26) END"
 _NAMED = "'Sheet \"' || replace(replace(sheet, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"'"
@@ -427,6 +526,30 @@ _SUMMARY = f"""
                'A' || any_value(first_row) || ':' || any_value(last_column) || max_by(row_no, place) AS cell_range
         FROM lines GROUP BY upload_id, sheet)"""
 
+_SHEET_CHUNKS = f"""
+        d AS (SELECT upload_id, sheet, sheet_order, last_column, row_no, line, strlen(line) AS n, target, most, row_number() OVER (PARTITION BY upload_id, sheet ORDER BY place) AS k FROM lines LEFT JOIN sizes USING (upload_id) WHERE place > 1 AND line <> ''),
+        fold AS (
+            SELECT *, 0 AS grp, n AS held, n > coalesce(most, 6000) AS one FROM d WHERE k = 1
+            UNION ALL
+            SELECT d.*, f.grp + CAST(d.n > coalesce(d.most, 6000) OR f.one OR f.held + d.n > coalesce(d.target, 5500) AS INTEGER),
+                   CASE WHEN d.n > coalesce(d.most, 6000) OR f.one OR f.held + d.n > coalesce(d.target, 5500) THEN d.n ELSE f.held + d.n END, d.n > coalesce(d.most, 6000)
+            FROM fold f JOIN d ON d.upload_id = f.upload_id AND d.sheet = f.sheet AND d.k = f.k + 1),
+        packed AS (
+            SELECT upload_id, sheet, sheet_order, grp, string_agg(line, chr(10) ORDER BY k) AS text,
+                   CASE WHEN sheet <> '' THEN {_NAMED} || ' ' ELSE '' END || CASE WHEN sheet <> '' THEN 'row' ELSE 'Row' END || CASE WHEN bool_or(one) THEN ' ' || min_by(row_no, k) ELSE 's ' || min_by(row_no, k) || '-' || max_by(row_no, k) END AS source_label,
+                   'A' || min_by(row_no, k) || ':' || any_value(last_column) || max_by(row_no, k) AS cell_range
+            FROM fold GROUP BY upload_id, sheet, sheet_order, grp),
+        every AS (
+            SELECT upload_id, sheet_order, grp, text, source_label, cell_range, coalesce(most, 6000) AS most FROM
+                (SELECT upload_id, sheet_order, -1 AS grp, text, source_label, cell_range FROM summary UNION ALL SELECT upload_id, sheet_order, grp, text, source_label, cell_range FROM packed) LEFT JOIN sizes USING (upload_id)),
+        {_cut_sql("every", "upload_id, sheet_order, grp, source_label, cell_range, most", "most")}
+        SELECT upload_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY sheet_order, grp, n) - 1 AS INTEGER) AS idx, piece AS text, source_label, cell_range, {_TOKENS.format("piece")} AS token_count FROM pieces"""
+
+_MAIL_TRIP = f"""
+        SELECT doc_id, CAST(unnest(generate_series(1, len(p))) - 1 AS INTEGER) AS block_no, unnest(p) AS text FROM (
+            SELECT doc_id, {_paragraphs_sql("array_to_string(list_filter(CASE WHEN list_position(l, '-- ') > 0 THEN l[1:list_position(l, '-- ') - 1] ELSE l END, lambda x: NOT starts_with(" + _trim("x") + ", '>')), chr(10))")} AS p
+            FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL))"""
+
 ORACLES: dict[str, str] = {
     "token_estimate": f"SELECT doc_id, {_TOKENS.format('text')} AS token_count FROM documents WHERE text IS NOT NULL",
     "split_paragraphs": f"SELECT doc_id, CAST(unnest(generate_series(1, len(p))) - 1 AS INTEGER) AS n, unnest(p) AS paragraph FROM (SELECT doc_id, {_paragraphs_sql('text')} AS p FROM documents WHERE text IS NOT NULL)",
@@ -444,12 +567,37 @@ ORACLES: dict[str, str] = {
                    regexp_replace(substring(h, 1, 2048), '(..)', '\1.', 'g') AS head FROM u)
         SELECT DISTINCT upload_id, CASE
             WHEN h = '' THEN 'INVALID' WHEN starts_with(h, 'D0CF11E0A1B11AE1') THEN 'UNSUPPORTED' WHEN starts_with(h, '7B5C727466') THEN 'rtf'
+            WHEN starts_with(h, '504B0304') AND NOT contains(h, '504B0506') THEN 'INVALID' -- no directory, so no archive
             WHEN hint = '.csv' THEN 'csv' WHEN hint = '.tsv' THEN 'tsv' WHEN hint IN ('.html', '.htm', '.xhtml') THEN 'html' WHEN hint = '.eml' THEN 'eml' WHEN hint = '.rtf' THEN 'rtf' WHEN hint IN ('.txt', '.log') THEN 'txt'
             WHEN regexp_matches(head, '3C\.21\.[46]4\.[46]F\.[46]3\.[57]4\.[57]9\.[57]0\.[46]5\.20\.[46]8\.[57]4\.[46]D\.[46]C\.|3C\.[46]8\.[57]4\.[46]D\.[46]C\.|3C\.[46]2\.[46]F\.[46]4\.[57]9\.') THEN 'html' ELSE 'txt' END AS found
-        FROM k WHERE NOT starts_with(h, '504B0304')""",
+        FROM k""",
     "text_chunks_default": _prose_sql(_PARAGRAPH_ITEMS, 5500, 6000),
     "text_chunks_small": _prose_sql(_PARAGRAPH_ITEMS, 700, 900),
     "line_pack": _prose_sql(_LINE_ITEMS, 500, 6000, ", '' AS source_label"),
+    "line_pack_overlap": f"""
+        WITH RECURSIVE {_LINE_ITEMS},
+        numbered AS (SELECT doc_id, '' AS label, 500 AS target, 6000 AS most, 80 AS overlap, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k, t FROM items),
+        {_filled_sql("doc_id")},
+        whole AS (SELECT doc_id, grp, body AS text FROM filled),
+        {_cut_sql("whole", "doc_id, grp", "6000")}
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY grp, n) - 1 AS INTEGER) AS idx, piece AS text, '' AS source_label, {_TOKENS.format("piece")} AS token_count FROM pieces""",
+    "prose_chunks": f"""
+        WITH RECURSIVE {_SIZES}, {_SECTIONS}, {_filled_sql("upload_id, section")},
+        bodies AS (SELECT upload_id, section, label, grp, most, CASE WHEN alone THEN most ELSE 2147483647 END AS part, body AS text FROM filled),
+        {_cut_sql("bodies", "upload_id, section, label, grp, most, part", "part", "parts")},
+        labelled AS (SELECT upload_id, section, label, grp, most, n AS part_no, CASE WHEN label <> '' THEN label || chr(10) || chr(10) ELSE '' END || piece AS text FROM parts),
+        {_cut_sql("labelled", "upload_id, section, label, grp, most, part_no", "most")},
+        mail AS (SELECT upload_id, bool_or(kind <> 'Heading' AND anchor_kind = 'Email') AS mail FROM p GROUP BY upload_id)
+        SELECT upload_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY section, grp, part_no, n) - 1 AS INTEGER) AS idx, piece AS text, label AS source_label, CASE WHEN mail THEN 'Email' ELSE 'Section' END AS anchor_kind,
+               0 AS slide, '' AS sheet, '' AS cell_range, label AS heading_path, {_TOKENS.format("piece")} AS token_count FROM pieces JOIN mail USING (upload_id)""",
+    "html_paragraphs": f"""
+        WITH u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY received_at DESC) AS n FROM uploads WHERE content_bytes IS NOT NULL) WHERE n = 1),
+        k AS (SELECT upload_id, decode(content_bytes) AS x, hex(content_bytes) AS h, lower(regexp_extract(regexp_extract(coalesce(filename, ''), '([^/]*)$', 1), '(\\.[^.]*)$', 1)) AS ext, lower(coalesce(content_type, '')) AS ct FROM u WHERE content_bytes <> ''::BLOB AND NOT starts_with(hex(content_bytes), '504B0304') AND NOT starts_with(hex(content_bytes), 'D0CF11E0A1B11AE1') AND NOT starts_with(hex(content_bytes), '7B5C727466') AND try(decode(content_bytes)) IS NOT NULL),
+        f AS (SELECT upload_id, x FROM k WHERE ext IN ('.html', '.htm', '.xhtml') OR ext = '' AND contains(ct, 'html') AND NOT contains(ct, 'csv') AND NOT contains(ct, 'tab-separated')
+              OR regexp_matches(lower(left(x, 1024)), '<!doctype html|<html|<body') AND ext NOT IN ('.csv', '.tsv', '.eml', '.rtf', '.txt', '.log') AND NOT (ext = '' AND regexp_matches(ct, 'csv|tab-separated|rfc822|rtf'))),
+        e AS (SELECT upload_id, unnest(regexp_extract_all(x, '<(?:h[1-6]|p|li|td|th|blockquote|pre|caption|figcaption)[^>]*>((?s:.*?))</(?:h[1-6]|p|li|td|th|blockquote|pre|caption|figcaption)>', 1)) AS t, unnest(generate_series(1, len(regexp_extract_all(x, '<(?:h[1-6]|p|li|td|th|blockquote|pre|caption|figcaption)[^>]*>((?s:.*?))</(?:h[1-6]|p|li|td|th|blockquote|pre|caption|figcaption)>', 1)))) AS n FROM f),
+        d AS (SELECT upload_id, n, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '{_WS}+', ' ', 'g')) AS t FROM e)
+        SELECT DISTINCT upload_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY n) - 1 AS INTEGER) AS block_no, t AS text FROM d WHERE t <> ''""",
     "heading_path": f"""
         WITH RECURSIVE {_SIZES},
         p AS (SELECT upload_id, block_no, kind, greatest(coalesce(block_level, 1), 1) AS lv, {_trim("coalesce(text, '')")} AS t, row_number() OVER (PARTITION BY upload_id ORDER BY block_no) AS n FROM b WHERE anchor_kind = 'Section'),
@@ -462,25 +610,12 @@ ORACLES: dict[str, str] = {
         SELECT upload_id, block_no, section, array_to_string(list_filter(path, lambda x: x <> ''), ' › ') AS path FROM walk""",
     "sheet_rows_serialized": f"WITH {_SIZES}, {_ROWS} SELECT upload_id, sheet, block_no, line FROM lines WHERE place > 1",
     "sheet_summary": f"WITH {_SIZES}, {_ROWS}, {_SUMMARY} SELECT upload_id, sheet, text, source_label, cell_range FROM summary",
-    "sheet_chunks": f"""
-        WITH RECURSIVE {_SIZES}, {_ROWS}, {_SUMMARY},
-        d AS (SELECT upload_id, sheet, sheet_order, last_column, row_no, line, strlen(line) AS n, target, most, row_number() OVER (PARTITION BY upload_id, sheet ORDER BY place) AS k FROM lines LEFT JOIN sizes USING (upload_id) WHERE place > 1 AND line <> ''),
-        fold AS (
-            SELECT *, 0 AS grp, n AS held, n > coalesce(most, 6000) AS one FROM d WHERE k = 1
-            UNION ALL
-            SELECT d.*, f.grp + CAST(d.n > coalesce(d.most, 6000) OR f.one OR f.held + d.n > coalesce(d.target, 5500) AS INTEGER),
-                   CASE WHEN d.n > coalesce(d.most, 6000) OR f.one OR f.held + d.n > coalesce(d.target, 5500) THEN d.n ELSE f.held + d.n END, d.n > coalesce(d.most, 6000)
-            FROM fold f JOIN d ON d.upload_id = f.upload_id AND d.sheet = f.sheet AND d.k = f.k + 1),
-        packed AS (
-            SELECT upload_id, sheet, sheet_order, grp, string_agg(line, chr(10) ORDER BY k) AS text,
-                   CASE WHEN sheet <> '' THEN {_NAMED} || ' ' ELSE '' END || CASE WHEN sheet <> '' THEN 'row' ELSE 'Row' END || CASE WHEN bool_or(one) THEN ' ' || min_by(row_no, k) ELSE 's ' || min_by(row_no, k) || '-' || max_by(row_no, k) END AS source_label,
-                   'A' || min_by(row_no, k) || ':' || any_value(last_column) || max_by(row_no, k) AS cell_range
-            FROM fold GROUP BY upload_id, sheet, sheet_order, grp),
-        every AS (
-            SELECT upload_id, sheet_order, grp, text, source_label, cell_range, coalesce(most, 6000) AS most FROM
-                (SELECT upload_id, sheet_order, -1 AS grp, text, source_label, cell_range FROM summary UNION ALL SELECT upload_id, sheet_order, grp, text, source_label, cell_range FROM packed) LEFT JOIN sizes USING (upload_id)),
-        {_cut_sql("every", "upload_id, sheet_order, grp, source_label, cell_range, most", "most")}
-        SELECT upload_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY sheet_order, grp, n) - 1 AS INTEGER) AS idx, piece AS text, source_label, cell_range, {_TOKENS.format("piece")} AS token_count FROM pieces""",
+    "sheet_chunks": f"WITH RECURSIVE {_SIZES}, {_ROWS}, {_SUMMARY}, {_SHEET_CHUNKS}",
+    "customer_sheets": f"""
+        WITH RECURSIVE rows AS ({_SHEET_TRIP}),
+        b AS (SELECT doc_id AS upload_id, 'SheetRow' AS kind, '' AS sheet, CAST(row_no - 1 AS INTEGER) AS block_no, row_no, string_split(line, '|') AS cells FROM rows),
+        sizes AS (SELECT DISTINCT doc_id AS upload_id, 2000 AS target, 6000 AS most FROM rows),
+        {_ROWS}, {_SUMMARY}, {_SHEET_CHUNKS.replace("SELECT upload_id, CAST(row_number", "SELECT upload_id AS doc_id, CAST(row_number")}""",
     "slide_chunks": f"""
         WITH RECURSIVE {_SIZES},
         t AS (SELECT upload_id, coalesce(slide, 0) AS slide, block_no, {_trim("coalesce(text, '')")} AS t FROM b WHERE anchor_kind = 'Slide'),
@@ -500,16 +635,30 @@ ORACLES: dict[str, str] = {
         SELECT upload_id, md5(content_bytes) AS digest, coalesce(filename, '') AS filename, coalesce(target_chars, 0) AS target_chars FROM
             (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY received_at DESC) AS n FROM uploads WHERE content_bytes IS NOT NULL) WHERE n = 1""",
     "rejected_documents": "SELECT CAST(r_regionkey * 100 + n AS BIGINT) AS doc_id, code FROM region, (VALUES (1, 'INVALID'), (2, 'UNSUPPORTED'), (3, 'INVALID'), (4, 'UNSUPPORTED'), (5, 'INVALID'), (6, 'INVALID'), (7, 'INVALID'), (8, 'INVALID')) v(n, code)",
-    "relationship_join": f"WITH {_SIZES} SELECT upload_id, block_no AS place, 'slides/slide' || slide || '.xml' AS target FROM b WHERE anchor_kind = 'Slide' AND block_no % 5 <> 0",
+    "relationship_join": f"""
+        WITH {_SIZES},
+        t AS (SELECT upload_id, block_no, slide, coalesce(array_to_string({_lines_sql('text')}, ' '), '') AS t FROM b WHERE anchor_kind = 'Slide'),
+        s AS (SELECT upload_id, slide, min(block_no) AS first_no, max(length(t)) AS longest, max_by(t, block_no) AS t FROM t WHERE t <> '' GROUP BY upload_id, slide)
+        SELECT upload_id AS doc_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY first_no) AS INTEGER) AS slide, t AS text FROM s WHERE longest < {LONG_SLIDE}""",
+    "docx_styles_roundtrip": f"""
+        WITH {_SIZES},
+        t AS (SELECT upload_id, block_no, kind, block_level, array_to_string({_lines_sql('text')}, ' ') AS t FROM b WHERE anchor_kind = 'Section' AND text IS NOT NULL)
+        SELECT upload_id AS doc_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY block_no) - 1 AS INTEGER) AS block_no, CASE WHEN kind = 'Caption' THEN 'Paragraph' ELSE kind END AS kind,
+               CAST(CASE WHEN kind = 'Heading' THEN block_level ELSE 0 END AS INTEGER) AS block_level, t AS text FROM t WHERE t <> ''""",
+    "pptx_file_order": _DECK_TRIP,
+    "xlsx_typed_roundtrip": """
+        SELECT CAST(l_orderkey // 1000 AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey // 1000 ORDER BY l_orderkey, l_linenumber, CAST(l_quantity AS VARCHAR), CAST(l_discount AS VARCHAR), CAST(l_extendedprice AS VARCHAR), l_shipdate) AS INTEGER) AS row_no,
+               concat_ws('|', l_orderkey, format('{:.1f}', l_quantity), CAST(round(l_discount * 100) AS INTEGER) || '%', format('{:,.2f}', l_extendedprice), strftime(l_shipdate, '%Y-%m-%d'), strftime(l_shipdate, '%-d-%b-%y')) AS line FROM lineitem""",
+    "ods_values_roundtrip": """
+        SELECT CAST(p_partkey // 1000 AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey) AS INTEGER) AS row_no,
+               concat_ws('|', p_brand, p_brand, p_brand, '', '', p_size, p_partkey) AS line FROM part""",
     "docx_roundtrip": _line_trip("t"),
     "odt_roundtrip": _line_trip("t"),
-    "rtf_roundtrip": _line_trip("regexp_replace(t, '[\\x{10000}-\\x{10FFFF}]', '?', 'g')"),
+    "rtf_roundtrip": _line_trip("t"),
     "epub_roundtrip": _line_trip(_COLLAPSED),
     "html_roundtrip": _line_trip(_COLLAPSED),
-    "eml_roundtrip": f"""
-        SELECT doc_id, CAST(unnest(generate_series(1, len(p))) - 1 AS INTEGER) AS block_no, unnest(p) AS text FROM (
-            SELECT doc_id, {_paragraphs_sql("array_to_string(list_filter(CASE WHEN list_position(l, '-- ') > 0 THEN l[1:list_position(l, '-- ') - 1] ELSE l END, lambda x: NOT starts_with(" + _trim("x") + ", '>')), chr(10))")} AS p
-            FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL))""",
+    "eml_roundtrip": _MAIL_TRIP,
+    "eml_quoted_printable": _MAIL_TRIP,
     "odp_roundtrip": _DECK_TRIP,
     "pptx_order_roundtrip": _DECK_TRIP,
     "csv_roundtrip": _SHEET_TRIP,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import io
+import quopri
 import re
 import zipfile
 from xml.sax.saxutils import escape, quoteattr
@@ -46,6 +47,13 @@ def ods(sheets: dict[str, list[list[str]]]) -> bytes:
     return zipped({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": f"<office:document-content {ODF}>{body}</office:document-content>"})
 
 
+def ods_values(rows: list[list[tuple[str, str, int]]]) -> bytes:
+    """Cells as (text shown, stored number or nothing, times): repeated cells are written once."""
+    cell = lambda shown, value, times: f'<table:table-cell table:number-columns-repeated="{times}"' + (f' office:value-type="float" office:value="{value}"' if value else "") + f"><text:p>{escape(shown)}</text:p></table:table-cell>"
+    body = "".join("<table:table-row>" + "".join(cell(*c) for c in row) + "</table:table-row>" for row in rows)
+    return zipped({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": f'<office:document-content {ODF}><table:table table:name="s">{body}</table:table></office:document-content>'})
+
+
 def odp(slides: list[str]) -> bytes:
     pages = "".join("<draw:page>" + "".join(f"<text:p>{escape(t)}</text:p>" for t in s.split("\n")) + "</draw:page>" for s in slides)
     return zipped({"mimetype": "application/vnd.oasis.opendocument.presentation", "content.xml": f"<office:document-content {ODF}>{pages}</office:document-content>"})
@@ -62,6 +70,22 @@ def pptx(slides: list[str]) -> bytes:
     return zipped(members)
 
 
+def pptx_linked(listed: list[str], declared: list[tuple[str, str]], parts: dict[str, str]) -> bytes:
+    """A deck that lists relationship ids, declares (id, part) in order and holds the texts of parts."""
+    members: dict[str, str | bytes] = {"[Content_Types].xml": "<Types/>"}
+    members["ppt/presentation.xml"] = f"<p:presentation xmlns:p='p' {R}><p:sldIdLst>" + "".join(f"<p:sldId r:id={quoteattr(i)}/>" for i in listed) + "</p:sldIdLst></p:presentation>"
+    members["ppt/_rels/presentation.xml.rels"] = "<Relationships>" + "".join(f"<Relationship Id={quoteattr(i)} Target={quoteattr('slides/' + part)}/>" for i, part in declared) + "</Relationships>"
+    for part, text in parts.items():
+        members[f"ppt/slides/{part}"] = f"<s><t>{escape(text)}</t></s>"
+    return zipped(members)
+
+
+def pptx_loose(slides: list[str]) -> bytes:
+    """A deck without a presentation part: its slides have only the numbers in their names."""
+    named = {f"ppt/slides/slide{n}.xml": f"<s><t>{escape(t)}</t></s>" for n, t in enumerate(slides, 1)}
+    return zipped({"[Content_Types].xml": "<Types/>", **dict(sorted(named.items()))})
+
+
 def _reference(column: int, row: int) -> str:
     name = ""
     n = column + 1
@@ -109,11 +133,12 @@ def epub(chapters: list[str]) -> bytes:
     return zipped(members)
 
 
-def eml(text: str, html: bool = False) -> bytes:
+def eml(text: str, html: bool = False, quoted_printable: bool = False) -> bytes:
     """A multipart message with an attachment before its body."""
     kind = "html" if html else "plain"
-    body = base64.encodebytes(text.encode()).decode()
-    return f"From: a@b.example\r\nSubject: =?x?=\r\nContent-Type: multipart/mixed; boundary=\"=b=\"\r\n\r\npreamble\r\n--=b=\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename=x.txt\r\n\r\nnot this\r\n--=b=\r\nContent-Type: text/{kind}; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n{body}\r\n--=b=--\r\n".encode()
+    body = quopri.encodestring(text.encode()).decode() if quoted_printable else base64.encodebytes(text.encode()).decode()
+    coding = "quoted-printable" if quoted_printable else "base64"
+    return f"From: a@b.example\r\nSubject: =?x?=\r\nContent-Type: multipart/mixed; boundary=\"=b=\"\r\n\r\npreamble\r\n--=b=\r\nContent-Type: text/plain\r\nContent-Disposition: attachment; filename=x.txt\r\n\r\nnot this\r\n--=b=\r\nContent-Type: text/{kind}; charset=utf-8\r\nContent-Transfer-Encoding: {coding}\r\n\r\n{body}\r\n--=b=--\r\n".encode()
 
 
 def rtf(text: str) -> bytes:

@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from blockmill.sources.tables import shared_folder
+from blockmill.sources.tables import local_folder, shared_folder
 
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
     """Sends the package to the executors, once for each application. The archive is written to the shared folder where that is a
-    folder of files, and Spark hands it on from there."""
+    folder of files, and Spark hands it on from there; a session on one machine may do without."""
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
@@ -25,7 +24,7 @@ def ship_package(spark: SparkSession) -> SparkSession:
             folder = os.path.join(shared, f"package-{context.applicationId}")
             os.makedirs(folder, exist_ok=True)
         else:
-            folder = tempfile.mkdtemp(prefix="blockmill-package-")
+            folder = local_folder(spark, "package")
         archive = os.path.join(folder, f"{root.name}.zip")
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
             for path in sorted(root.rglob("*.py")):

@@ -31,12 +31,19 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+def local_folder(spark: SparkSession, purpose: str) -> str:
+    """A folder of this machine, for a session that runs on it alone; on a cluster there is no place that all executors share."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"blockmill-{purpose}-")
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Makes sure checkpoint() has a directory: the one in spark.checkpoint.dir, and a temporary one only
-    where that setting is absent (tests on one machine)."""
+    """Makes sure checkpoint() has a directory: the one in spark.checkpoint.dir, and one of this machine only where that setting
+    is absent and the session is local (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark) or tempfile.mkdtemp(prefix="blockmill-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark) or local_folder(spark, "checkpoint"))
     return spark
 
 
