@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,15 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once as Parquet to the folder of checkpoints and read from there: lineage is cut, and later steps read the columns
+    they need."""
+    spark = with_checkpoints(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores, where its files are too few and too small to give every core a partition.
 
