@@ -76,6 +76,10 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(read_table(spark, sf_dir, "documents"))
 
 
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_share(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
@@ -92,6 +96,7 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p8_share": p8_share,
 }
 
 SIZED_UPLOADS = """
@@ -119,6 +124,14 @@ LINKED_PAIRS = """
     reach AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
     SELECT DISTINCT a AS chunk_id_a, b AS chunk_id_b FROM reach WHERE a < b"""
 
+SHARED_CHARS = """
+    WITH starts AS (SELECT doc_id, text, unnest(generate_series(1, length(text) - 199)) AS i FROM documents WHERE length(text) >= 200),
+    windows AS (SELECT doc_id, i, hash(substring(text, CAST(i AS INTEGER), 200)) AS h FROM starts),
+    shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+    held AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows SEMI JOIN shared USING (h)),
+    chars AS (SELECT doc_id, CAST(sum(least(200, coalesce(i - before, 200))) AS BIGINT) AS shared_chars FROM held GROUP BY doc_id)
+    SELECT doc_id, shared_chars, shared_chars / length(text) AS share FROM chars JOIN documents USING (doc_id)"""
+
 ORACLES = {
     "p4_found": f"""
         WITH {SIZED_UPLOADS}
@@ -126,6 +139,10 @@ ORACLES = {
         WHERE strlen(text) > coalesce(limit_bytes, 6000)""",
     "p5_found": LINKED_PAIRS,
     "p8_found": SHARED_WINDOWS,
+    "p8_share": SHARED_CHARS,
+    "p5_groups": f"""
+        WITH RECURSIVE {LINKED_PAIRS.split("WITH RECURSIVE", 1)[1].rsplit("SELECT DISTINCT a AS", 1)[0]}
+        SELECT chunk_id, CAST(least(chunk_id, coalesce(min(b), chunk_id)) AS BIGINT) AS group_id FROM sizes LEFT JOIN reach ON a = chunk_id GROUP BY chunk_id""",
     "p6_roundtrip": """
         SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, TRUE AS restored FROM documents""",
 }

@@ -3,11 +3,11 @@
 Fixed-length blocks serve as anchors. Every rolling window of half the span length is hashed, and a window becomes an
 anchor where its hash is the least among the windows of some span it lies in; any two equal spans choose equal
 anchors, so none is missed, while only about one window in fifty is ever shuffled. (Indexing the non-overlapping blocks and
-probing each of them with every rolling window would shuffle all windows, some twenty times the input; see README.)
+probing them with every rolling window was measured to shuffle 23.8 times the input; see README.)
 
 Anchors that two documents share are extended: the span that starts at an anchor settles nearly all cases; where it
-does not, all spans around the anchor are compared. Hashes have 64 bits and whole spans are hashed, so a result
-is an equal span but for a collision.
+does not, all spans around the anchor are compared. Hashes of spans have 64 bits. For the repeats that shared_spans reports, texts are
+compared: each is extended to both sides, character by character, until the two documents differ.
 """
 
 from __future__ import annotations
@@ -16,11 +16,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from blockmill.sources.tables import spread, with_checkpoints
+from blockmill.sources.tables import spread, with_checkpoints, written
 
 SPAN = 200
 #: Characters worked on at once; a longer text is taken in segments that overlap by three spans.
@@ -163,7 +165,8 @@ class _Shared:
         self.span = span
         text = F.col(text_col).cast("string")
         self.docs = documents.select(F.col(id_col).cast("bigint").alias("doc"), text.alias("text")).where((F.length("text") >= span) & F.col("doc").isNotNull())
-        table = _anchor_table(self.docs, span, all_positions)
+        # Written once, by columns, as both what is counted and what is kept need it.
+        table = written(_anchor_table(self.docs, span, all_positions))
         twice = table.where("first").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
         columns = ["doc", "fp", "spanned", "pos"]
         self.rows = table.select(columns).join(twice, "fp").checkpoint()
@@ -171,7 +174,7 @@ class _Shared:
         self.judged = self.rows.join(keys.withColumn("sure", F.lit(True)), "spanned", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
 
     def around(self, open_rows: DataFrame) -> DataFrame:
-        """(doc, start) of the shared spans that hold an anchor equal to one of `open_rows`."""
+        """(doc, start, h) of the shared spans that hold an anchor equal to one of `open_rows`."""
         span = self.span
         wanted = self.rows.join(open_rows.select("fp").distinct(), "fp", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("positions"))
         texts = self.docs.join(wanted, "doc").select("doc", "text", "positions")
@@ -183,7 +186,7 @@ class _Shared:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), doc, np.int64)), pa.array(hashes.view(np.int64)), pa.array(starts.astype(np.int32))], names=["doc", "h", "start"])
 
         rows = texts.mapInArrow(run, "doc bigint, h bigint, start int").checkpoint()
-        return rows.join(_in_two(rows, "h"), "h").select("doc", "start")
+        return rows.join(_in_two(rows, "h"), "h").select("doc", "start", "h")
 
 
 def documents_with_shared_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
@@ -199,23 +202,95 @@ def documents_with_shared_spans(documents: DataFrame, *, id_col: str = "doc_id",
     return sure.union(more).distinct().withColumnRenamed("doc", id_col)
 
 
-def shared_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """(id_col, span_start, span_end, shared_chars, share): the maximal stretches made of spans that another document
-    holds, in code points, the end exclusive; shared_chars and share are those of the whole document.
-
-    Cases without a stretch, and null or short texts, have no rows. Rows of one id with different texts: as one document.
-    """
-    shared = _Shared(documents, id_col, text_col, span, all_positions=True)
+def _shared_starts(shared: _Shared) -> DataFrame:
+    """(doc, start, h): spans that another document holds; together they cover all that is shared."""
     judged = shared.judged.checkpoint()
     # An anchor is open if its own span is not shared, or the anchor before it is not shared so.
     order = Window.partitionBy("doc").orderBy("pos")
     marked = judged.withColumn("before", F.lag("sure").over(order)).withColumn("gap", F.col("pos") - F.lag("pos").over(order))
-    open_rows = marked.where(~F.col("sure") | F.col("before").isNull() | ~F.col("before") | (F.col("gap") > span))
-    starts = judged.where("sure").select("doc", F.col("pos").alias("start")).union(shared.around(open_rows)).distinct()
-    step = Window.partitionBy("doc").orderBy("start")
-    edges = starts.withColumn("new", F.coalesce(F.col("start") > F.lag("start").over(step) + span, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(step))
-    merged = edges.groupBy("doc", "run").agg(F.min("start").alias("span_start"), (F.max("start") + span).alias("span_end"))
-    totals = merged.groupBy("doc").agg(F.sum(F.col("span_end") - F.col("span_start")).cast("bigint").alias("shared_chars"))
+    open_rows = marked.where(~F.col("sure") | F.col("before").isNull() | ~F.col("before") | (F.col("gap") > shared.span))
+    return judged.where("sure").select("doc", F.col("pos").alias("start"), F.col("spanned").alias("h")).union(shared.around(open_rows)).distinct()
+
+
+def _islands(rows: DataFrame, keys: list[str], start: str, span: int) -> DataFrame:
+    """(keys, first, last): runs of starts no more than a span apart."""
+    step = Window.partitionBy(*keys).orderBy(start)
+    edges = rows.withColumn("new", F.coalesce(F.col(start) > F.lag(start).over(step) + span, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(step))
+    return edges.groupBy(*keys, "run").agg(F.min(start).alias("first"), F.max(start).alias("last")).drop("run")
+
+
+def shared_share(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """(id_col, shared_chars, share): how many characters of each document stand in spans that other documents hold, and their share of its
+    text. Documents without any, and null or short texts, have no rows. Rows of one id with different texts: as one document."""
+    shared = _Shared(documents, id_col, text_col, span, all_positions=True)
+    runs = _islands(_shared_starts(shared), ["doc"], "start", span)
+    totals = runs.groupBy("doc").agg(F.sum(F.col("last") + span - F.col("first")).cast("bigint").alias("shared_chars"))
     sizes = shared.docs.groupBy("doc").agg(F.max(F.length("text")).alias("n"))
-    out = merged.join(totals.join(sizes, "doc"), "doc")
-    return out.select(F.col("doc").alias(id_col), "span_start", "span_end", "shared_chars", (F.col("shared_chars") / F.col("n")).alias("share"))
+    return totals.join(sizes, "doc").select(F.col("doc").alias(id_col), "shared_chars", (F.col("shared_chars") / F.col("n")).alias("share"))
+
+
+#: Characters compared at once at either end of a repeat; doubled for those that are still equal.
+STEP = 512
+
+
+def shared_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """(id_col, span_start, span_end, partner_id, partner_start): maximal exact repeats of at least `span` characters, in code points, the end
+    exclusive: the text of the partner from partner_start on is the same, and differs, or ends, before and behind.
+
+    Each shared span is linked to one other document that holds it (the first or the last by id), not to all of them: a text that very many documents hold
+    gives each of them one row, and copies are not expanded into pairs. Together the rows of a document cover all that it
+    shares. Null and short texts have no rows. Rows of one id count as its greatest text.
+    """
+    unique = documents.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(text_col).cast("string")).alias("text")).checkpoint()
+    shared = _Shared(unique, "doc_id", "text", span, all_positions=True)
+    starts = _shared_starts(shared).checkpoint()
+    here = F.struct("doc", "start")
+    ends = starts.groupBy("h").agg(F.min(here).alias("lo"), F.max(here).alias("hi"))
+    other = F.when(F.col("lo.doc") == F.col("doc"), F.col("hi")).otherwise(F.col("lo"))
+    linked = starts.join(ends, "h").select("doc", "start", other.alias("o")).select("doc", "start", F.col("o.doc").alias("partner"), (F.col("o.start") - F.col("start")).alias("ahead")).where("doc <> partner")
+    runs = _islands(linked, ["doc", "partner", "ahead"], "start", span)
+    now = runs.select("doc", "partner", "ahead", F.col("first").cast("int").alias("lo"), (F.col("last") + span).cast("int").alias("hi")).checkpoint()
+    texts = shared.docs.select("doc", "text")
+    done, step = None, STEP
+    while True:
+        moved = _extended(now, texts, step).checkpoint()
+        settled = moved.where("NOT more").drop("more")
+        done = settled if done is None else done.union(settled)
+        now = moved.where("more").drop("more")
+        if now.isEmpty():
+            break
+        step *= 2
+    # Runs of one diagonal that grew into each other are one repeat.
+    return done.distinct().select(F.col("doc").alias(id_col), F.col("lo").alias("span_start"), F.col("hi").alias("span_end"), F.col("partner").alias("partner_id"), (F.col("lo") + F.col("ahead")).alias("partner_start"))
+
+
+def _extended(repeats: DataFrame, texts: DataFrame, step: int) -> DataFrame:
+    """`repeats` (doc, partner, ahead, lo, hi) grown by at most `step` characters to both sides, and whether one of them may grow further."""
+    keys = ["doc", "partner", "ahead", "lo", "hi"]
+    asked = repeats.select(F.col("doc").alias("d"), F.lit(0).alias("who"), *[F.col(c).alias(f"r_{c}") for c in keys], F.col("lo").alias("a"), F.col("hi").alias("b")).union(
+        repeats.select(F.col("partner").alias("d"), F.lit(1).alias("who"), *[F.col(c).alias(f"r_{c}") for c in keys], (F.col("lo") + F.col("ahead")).alias("a"), (F.col("hi") + F.col("ahead")).alias("b"))
+    )
+    # Only the characters before and behind a repeat travel, not the texts of its documents.
+    before = F.reverse(F.expr(f"substring(text, greatest(1, a - {step} + 1), least(a, {step}))"))
+    behind = F.expr(f"substring(text, b + 1, {step})")
+    sides = texts.join(asked.withColumnRenamed("d", "doc"), "doc").select("who", *[f"r_{c}" for c in keys], before.alias("before"), behind.alias("behind"))
+    own, its = sides.where("who = 0").drop("who"), sides.where("who = 1").drop("who").withColumnsRenamed({"before": "before2", "behind": "behind2"})
+    both = own.join(its, [f"r_{c}" for c in keys]).withColumns({"left": _common("before", "before2"), "right": _common("behind", "behind2")})
+    more = (F.col("left") == step) | (F.col("right") == step)
+    return both.select(*[F.col(f"r_{c}").alias(c) for c in keys[:3]], (F.col("r_lo") - F.col("left")).cast("int").alias("lo"), (F.col("r_hi") + F.col("right")).cast("int").alias("hi"), more.alias("more"))
+
+
+@F.pandas_udf(IntegerType())
+def _common_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        n = min(len(x), len(y))
+        if x[:n] != y[:n]:
+            n = next(k for k in range(n) if x[k] != y[k])
+        out.append(n)
+    return pd.Series(out)
+
+
+def _common(a: str, b: str):
+    """How many characters two texts have in common from their start."""
+    return _common_length(F.col(a), F.col(b))

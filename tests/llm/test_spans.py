@@ -48,9 +48,19 @@ def test_spans_equal_brute_force(spark, span):
     want = brute(docs, span)
     df = frame(spark, docs).cache()
     assert {r.doc_id for r in spans.documents_with_shared_spans(df, span=span).collect()} == set(want)
-    rows = spans.shared_spans(df, span=span).collect()
-    assert {r.doc_id: r.shared_chars for r in rows} == want
-    assert all(r.span_end - r.span_start >= span and 0 < r.share <= 1 for r in rows)
+    share = spans.shared_share(df, span=span).collect()
+    assert {r.doc_id: r.shared_chars for r in share} == want and all(0 < r.share <= 1 for r in share)
+    rows, text = spans.shared_spans(df, span=span).collect(), dict(docs)
+    covered = {d: np.zeros(len(t), bool) for d, t in docs}
+    for r in rows:
+        a, b, n = text[r.doc_id], text[r.partner_id], r.span_end - r.span_start
+        end = r.partner_start + n
+        assert r.doc_id != r.partner_id and n >= span and a[r.span_start : r.span_end] == b[r.partner_start : end]
+        assert r.span_start == 0 or r.partner_start == 0 or a[r.span_start - 1] != b[r.partner_start - 1]
+        assert r.span_end == len(a) or end == len(b) or a[r.span_end] != b[end]
+        covered[r.doc_id][r.span_start : r.span_end] = True
+    assert {d: int(c.sum()) for d, c in covered.items() if c.any()} == want
+    assert len(rows) == len(set(rows))
 
 
 def test_length_counts_to_the_character(spark):
