@@ -81,9 +81,22 @@ def test_pairs_and_empty_tables(spark):
     df = spark.createDataFrame(rows, "chunk_id bigint, text string")
     pairs = {tuple(r) for r in neardup.pairs_within(neardup.similar_groups(df)).collect()}
     assert pairs == {(1, 2), (1, 3), (2, 3)}
+    tiled = {tuple(r) for r in neardup.pairs_within(neardup.similar_groups(df), tile=1).collect()}
+    assert tiled == pairs
     assert neardup.similar_groups(df.where("false")).count() == 0
 
 
+def test_sketches_let_likely_pairs_pass():
+    rng = random.Random(9)
+    missed = 0
+    for _ in range(300):
+        both, one, two = ({rng.getrandbits(60) for _ in range(n)} for n in (60, 20, 20))
+        sig = neardup.np.stack([neardup.signature(neardup.np.array(sorted(x), neardup.np.uint64)) for x in (both | one, both | two)])
+        a, b = neardup._sketches(sig)
+        missed += not neardup._near(neardup.np.array([a]), b, 0.6)[0]
+    assert missed <= 1
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     rows = corpus(11, 30)
     copies = [(1000 + n, rows[0][1]) for n in range(len(rows) // 2)]
