@@ -15,32 +15,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockmill.llm.tokens import count_tokens
-from blockmill.sources.tables import with_checkpoints
+from blockmill.sources.tables import with_checkpoints, written
 
 GRID = 4096
 #: Plans of at most so many rows (sources of all mixtures) are broadcast; larger ones are joined.
 BROADCAST_ROWS = 20_000
-#: The longest mean line, and the least share of letters and digits, of a document of full weight.
-LONG_LINES, FEW_LETTERS = 200, 0.4
 
 
-def quality_weight(text: Column) -> Column:
-    """1, halved for a mean line of over LONG_LINES characters and halved for few letters and digits."""
-    n = F.length(text)
-    lines = n - F.length(F.translate(text, "\n", "")) + 1
-    letters = F.length(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", ""))
-    long_lines = F.when(n / lines > LONG_LINES, 0.5).otherwise(1.0)
-    few = F.when(letters < FEW_LETTERS * n, 0.5).otherwise(1.0)
-    return F.when(n > 0, long_lines * few).otherwise(1.0)
+def fresh_lines(text: Column) -> Column:
+    """The share of the lines of a text that are not repeated within it."""
+    lines = F.split(text, "\n", -1)
+    return F.when(F.length(text) > 0, F.size(F.array_distinct(lines)) / F.size(lines)).otherwise(1.0)
+
+
+def quality_weights(sized: DataFrame) -> DataFrame:
+    """`sized` (doc_id, source, n_tokens, n_chars, fresh) with `weight`: how typical a document is of its source, measured over all of them.
+
+    The tokens that a character costs tell odd text (keys, minified code, wrong encodings) from that of its source: at z standard deviations
+    from the mean the weight is 1 / (1 + z * z). It is lowered to the share of lines that are not repeated.
+    """
+    density = F.when(F.col("n_chars") > 0, F.col("n_tokens") / F.col("n_chars"))
+    measured = sized.withColumn("density", density)
+    usual = measured.groupBy("source").agg(F.avg("density").alias("mean"), F.stddev_pop("density").alias("spread")).checkpoint()
+    # One row for each source; joined null-safe, as documents may have none.
+    known = _small(usual.withColumnRenamed("source", "of"), usual.count())
+    joined = measured.join(known, measured["source"].eqNullSafe(known["of"]), "left")
+    z = F.when(F.col("spread") > 0, (F.col("density") - F.col("mean")) / F.col("spread")).otherwise(0.0)
+    weight = F.coalesce(F.col("fresh") / (1 + z * z), F.lit(1.0))
+    return joined.select("doc_id", "source", "n_tokens", weight.alias("weight"))
 
 
 def weighed_documents(documents: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
-    """(doc_id, source, n_tokens, weight), one row for each id."""
+    """(doc_id, source, n_tokens, weight), one row for each id (of several the one of most tokens)."""
     with_checkpoints(documents.sparkSession)
-    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text", quality_weight(F.col("text")).alias("weight"))
-    sized = count_tokens(rows, keep=["doc_id", "source", "weight"], tokenizer_file=tokenizer_file)
-    best = F.max(F.struct("n_tokens", "source", "weight")).alias("x")
-    return sized.groupBy("doc_id").agg(best).select("doc_id", "x.source", "x.n_tokens", F.coalesce("x.weight", F.lit(1.0)).alias("weight")).checkpoint()
+    rows = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "source", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), F.coalesce(fresh_lines(F.col("text")), F.lit(1.0)).alias("fresh"))
+    sized = count_tokens(rows, keep=["doc_id", "source", "n_chars", "fresh"], tokenizer_file=tokenizer_file)
+    best = F.max(F.struct("n_tokens", "source", "n_chars", "fresh")).alias("x")
+    once = sized.groupBy("doc_id").agg(best).select("doc_id", "x.*").checkpoint()
+    return quality_weights(once).checkpoint()
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -125,6 +137,6 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer_file: str | None
     """(mix_name, source_name, doc_id, n_tokens, times, target_share, reached_share): what is taken, with the wanted and
     the reached share of tokens of its source."""
     sized = weighed_documents(documents, tokenizer_file)
-    taken = mix_sources(sized, targets, seed)
+    taken = written(mix_sources(sized, targets, seed))
     shares = reached_shares(taken, sized, targets).select("mix_name", "source_name", "target_share", "reached_share").checkpoint()
     return taken.join(_small(shares, shares.count()), ["mix_name", "source_name"]).select("mix_name", "source_name", "doc_id", "n_tokens", "times", "target_share", "reached_share")

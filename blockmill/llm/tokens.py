@@ -8,6 +8,7 @@ space), so memory does not grow with a row and the ids are those of the whole te
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -54,8 +55,16 @@ def _token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def _pieces(text: str) -> list[str]:
-    if len(text) <= GROUP_CHARS:
+@lru_cache(maxsize=4)
+def _cuts_at_blanks(path: str) -> bool:
+    """Whether the file's own pre-tokenizer always cuts before a single blank between words: it is byte-level with its pattern, and
+    nothing changes the text before it."""
+    held = json.loads(_tokenizer(path).to_str())
+    return held.get("normalizer") is None and (held.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and held["pre_tokenizer"].get("use_regex", True)
+
+
+def _pieces(text: str, path: str) -> list[str]:
+    if len(text) <= GROUP_CHARS or not _cuts_at_blanks(path):
         return [text]
     out, start = [], 0
     while len(text) - start > GROUP_CHARS:
@@ -84,7 +93,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
 
     for at, text in enumerate(texts):
         parts.append([])
-        for piece in _pieces(text) if text else ():
+        for piece in _pieces(text, path) if text else ():
             group.append((at, piece))
             held += len(piece)
             if held >= GROUP_CHARS:

@@ -68,3 +68,15 @@ def test_documents_are_sized_by_the_tokenizer(spark):
     goals = spark.createDataFrame([("m", "a", 1.0, 3, 3.0)], TARGETS)
     rows = mixing.mixture(table, goals).collect()
     assert [(r.doc_id, r.times, r.reached_share) for r in rows] == [(1, 3, 1.0)]
+
+
+def test_weights_are_measured_against_the_source(spark):
+    rows = [(n, "code", 100, 300 + n % 3, 1.0) for n in range(40)] + [(100, "code", 290, 300, 1.0), (101, "code", 100, 300, 0.25), (102, "code", 0, 0, 1.0), (103, None, 5, 10, 1.0), (104, "lone", 5, 10, 0.5)]
+    got = {r.doc_id: r.weight for r in mixing.quality_weights(spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, n_chars int, fresh double")).collect()}
+    assert len(got) == len(rows) and min(got[n] for n in range(40)) > 0.9
+    assert got[100] < 0.05 and 0.2 < got[101] < 0.25 and got[102] == got[103] == 1.0 and got[104] == 0.5
+
+
+def test_fresh_lines(spark):
+    df = spark.createDataFrame([("a\nb\na\na",), ("a",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(mixing.fresh_lines(F.col("text"))).collect()] == [0.5, 1.0, 1.0, 1.0]
