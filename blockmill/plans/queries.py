@@ -310,6 +310,16 @@ def docx_styles_roundtrip(spark, sf_dir):
     return _extracted(made).select("doc_id", "block_no", "kind", "block_level", "text")
 
 
+def invalid_bytes_roundtrip(spark, sf_dir):
+    """Plain text whose lines are parted by runs of bytes that are no UTF-8: each run shows as one replacement character."""
+    return _paragraph_trip(spark, sf_dir, lambda p: b"\xff\xfe\x80".join(t.encode() for t in p), "a.txt")
+
+
+def duplicate_members(spark, sf_dir):
+    """Archives with two members of each name: the first counts."""
+    return _paragraph_trip(spark, sf_dir, lambda p: builders.odt([(0, t) for t in p], then={"content.xml": "<x>not this</x>", "mimetype": "application/epub+zip"}))
+
+
 def eml_quoted_printable(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array("text").alias("parts"))
     return _extracted(_built(docs, lambda p: builders.eml(p[0].replace("\r\n", "\n"), quoted_printable=True), "m.eml")).select("doc_id", "block_no", "text")
@@ -380,7 +390,7 @@ QUERIES: dict[str, Query] = {
         *(sheet_rows_serialized, sheet_summary, sheet_chunks, slide_chunks, customer_sheets),
         *(upload_chunks, html_paragraphs, framed_uploads, rejected_documents, relationship_join),
         *(docx_roundtrip, odt_roundtrip, rtf_roundtrip, epub_roundtrip, html_roundtrip, eml_roundtrip),
-        *(docx_styles_roundtrip, eml_quoted_printable, pptx_file_order, xlsx_typed_roundtrip, ods_values_roundtrip),
+        *(invalid_bytes_roundtrip, duplicate_members, docx_styles_roundtrip, eml_quoted_printable, pptx_file_order, xlsx_typed_roundtrip, ods_values_roundtrip),
         *(odp_roundtrip, pptx_order_roundtrip, csv_roundtrip, tsv_roundtrip, ods_roundtrip, xlsx_roundtrip),
     )
 }
@@ -655,6 +665,8 @@ ORACLES: dict[str, str] = {
     "docx_roundtrip": _line_trip("t"),
     "odt_roundtrip": _line_trip("t"),
     "rtf_roundtrip": _line_trip("t"),
+    "duplicate_members": _line_trip("t"),
+    "invalid_bytes_roundtrip": f"SELECT doc_id, CAST(0 AS INTEGER) AS block_no, array_to_string(p, '�') AS text FROM (SELECT doc_id, {_lines_sql('text')} AS p FROM documents WHERE text IS NOT NULL) WHERE len(p) > 0",
     "epub_roundtrip": _line_trip(_COLLAPSED),
     "html_roundtrip": _line_trip(_COLLAPSED),
     "eml_roundtrip": _MAIL_TRIP,

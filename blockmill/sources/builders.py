@@ -6,6 +6,7 @@ import base64
 import io
 import quopri
 import re
+import warnings
 import zipfile
 from xml.sax.saxutils import escape, quoteattr
 
@@ -14,10 +15,11 @@ R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationship
 ODF = 'xmlns:office="o" xmlns:text="t" xmlns:table="tb" xmlns:draw="d"'
 
 
-def zipped(members: dict[str, str | bytes]) -> bytes:
+def zipped(members: dict[str, str | bytes], then: dict[str, str | bytes] | None = None) -> bytes:
+    """An archive of members; those in `then` follow, also under names that are taken."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, content in members.items():
+    with warnings.catch_warnings(action="ignore"), zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in [*members.items(), *(then or {}).items()]:
             z.writestr(name, content)
     return out.getvalue()
 
@@ -32,11 +34,11 @@ def docx(paragraphs: list[tuple[str, str]]) -> bytes:
     return zipped({"[Content_Types].xml": "<Types/>", "word/document.xml": f"<w:document {W}><w:body>{''.join(body)}</w:body></w:document>"})
 
 
-def odt(paragraphs: list[tuple[int, str]]) -> bytes:
+def odt(paragraphs: list[tuple[int, str]], then: dict[str, str | bytes] | None = None) -> bytes:
     """(heading level or 0, text) of each paragraph."""
     inner = lambda t: "<text:line-break/>".join(escape(x) for x in t.split("\n"))
     body = "".join(f'<text:h text:outline-level="{n}">{inner(t)}</text:h>' if n else f"<text:p>{inner(t)}</text:p>" for n, t in paragraphs)
-    return zipped({"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": f"<office:document-content {ODF}><office:text>{body}</office:text></office:document-content>"})
+    return zipped({"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": f"<office:document-content {ODF}><office:text>{body}</office:text></office:document-content>"}, then)
 
 
 def ods(sheets: dict[str, list[list[str]]]) -> bytes:
