@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockmill.functions.sizing import resolved_max, resolved_overlap
-from blockmill.sources.tables import latest_rows, with_checkpoints
+from blockmill.sources.tables import latest_rows, with_checkpoints, written
 
 #: Bytes of a range, at least; and of what is read before it.
 RANGE_BYTES = 1 << 20
@@ -225,9 +225,9 @@ def split_oversized(items: DataFrame, *, id_col: str, text_col: str, limit_col:
     and items without a limit give no rows. Repeated rows give repeated pieces; other columns are not read. The size of a range
     has no part in the result.
     """
-    with_checkpoints(items.sparkSession)
     narrow = items.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.col(limit_col).cast("int").alias("__limit"), F.coalesce(F.col(overlap_col).cast("int"), F.lit(0)).alias("__overlap"))
-    large = narrow.where((F.octet_length("__text") > F.col("__limit")) & (F.col("__limit") > 0))
+    # Written once: only the items to be cut, which both branches below read.
+    large = written(narrow.where((F.octet_length("__text") > F.col("__limit")) & (F.col("__limit") > 0)))
     kind = narrow.schema["__id"].dataType.simpleString()
     one_range = F.octet_length("__text") <= F.greatest(F.lit(range_bytes), 4 * F.col("__limit").cast("long") + 64)
 
