@@ -85,6 +85,11 @@ _ENDS_P = {
     *"address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr main menu nav ol p pre search section summary table ul listing plaintext xmp li dd dt".split(),
     *_HEADINGS,
 }
+_FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
+#: The parts of a table, with the elements that each may stand in; other content of a table belongs before it.
+_TABLE_PARTS = {**dict.fromkeys(("caption", "colgroup", "tbody", "thead", "tfoot"), {"table"}), "tr": {"table", "tbody", "thead", "tfoot"}, **dict.fromkeys(("td", "th"), {"table", "tbody", "thead", "tfoot", "tr"})}
+_TABLE_FRAME = {"table", "tbody", "thead", "tfoot", "tr", "colgroup"}
+_CELLS = {"td", "th", "caption"}
 _SCOPE = {"table", "td", "th", "caption", "html", "button", "template", "object", "marquee", "applet"}
 
 
@@ -99,6 +104,14 @@ class _Tree(HTMLParser):
         self.held: list[str] = []
         self.hidden = 0  # depth at which a hidden element was opened
         self.seen_body = False
+        #: Of each open table: its depth, and where in the blocks and in the text being collected it began.
+        self.tables: list[list[int]] = []
+        self.before: list[int] | None = None  # the table before which the block being collected belongs
+
+    def _misplaced(self) -> bool:
+        """Whether content here stands in a table but in none of its cells."""
+        nearest = next((t for t in reversed(self.open) if t in _TABLE_FRAME or t in _CELLS), None)
+        return nearest in _TABLE_FRAME and bool(self.tables)
 
     def _pop(self) -> None:
         tag = self.open.pop()
@@ -111,7 +124,13 @@ class _Tree(HTMLParser):
             self.held = []
             if text:
                 level = _HEADINGS.get(tag, 0)
-                self.blocks.append(prose(HEADING if level else _KINDS[tag], text, level))
+                at = self.before[1] if self.before else len(self.blocks)
+                self.blocks.insert(at, prose(HEADING if level else _KINDS[tag], text, level))
+                for table in self.tables:
+                    table[1] += table[1] >= at and (table is self.before or table[1] > at)
+            self.before = None
+        if tag == "table" and self.tables and self.tables[-1][0] == depth:
+            self.tables.pop()
 
     def _close_to(self, tags: set[str], bound: set[str]) -> bool:
         """Closes everything down to the nearest of `tags`, unless one of `bound` lies between."""
@@ -136,6 +155,13 @@ class _Tree(HTMLParser):
         elif "head" in self.open and tag not in _HIDDEN_WITHIN and tag not in ("title", "meta", "link", "base", "basefont", "bgsound", "noframes"):
             self._close_to({"head"}, set())
             self.seen_body = True
+        if tag in _TABLE_PARTS:
+            if "table" not in self.open:
+                return
+            while self.open[-1] not in _TABLE_PARTS[tag]:
+                self._pop()
+        elif tag == "table" and self.open and self.open[-1] in _TABLE_FRAME:
+            self._close_to({"table"}, set())
         if tag in _ENDS_P:
             self._close_to({"p"}, _SCOPE)
         if tag in _HEADINGS and self.open and self.open[-1] in _HEADINGS:
@@ -144,12 +170,6 @@ class _Tree(HTMLParser):
             self._close_to({"li"}, _SCOPE | {"ul", "ol", "menu", "dir"})
         elif tag in ("dt", "dd"):
             self._close_to({"dt", "dd"}, _SCOPE | {"dl"})
-        elif tag in ("td", "th"):
-            self._close_to({"td", "th"}, {"table", "template", "html"})
-        elif tag == "tr":
-            self._close_to({"tr"}, {"table", "template", "html"})
-        elif tag in ("tbody", "thead", "tfoot", "caption", "colgroup"):
-            self._close_to({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table", "template", "html"})
         elif tag == "option":
             if self.open and self.open[-1] == "option":
                 self._pop()
@@ -159,13 +179,17 @@ class _Tree(HTMLParser):
             self._close_to({"button"}, _SCOPE - {"button"})
         if tag in _VOID:
             return
+        misplaced = tag not in _TABLE_PARTS and self._misplaced()
         self.open.append(tag)
         depth = len(self.open)
+        if tag == "table":
+            self.tables.append([depth, len(self.blocks), len(self.held)])
         if not self.hidden and tag in (_HIDDEN_WITHIN if self.inside else _HIDDEN):
             self.hidden = depth
         elif not self.hidden and not self.inside and (tag in _KINDS or tag in _HEADINGS):
             self.inside = depth
             self.held = []
+            self.before = self.tables[-1] if misplaced else None
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
@@ -176,6 +200,9 @@ class _Tree(HTMLParser):
         if tag in _HEADINGS:
             self._close_to(set(_HEADINGS), _SCOPE)
             return
+        if tag in _FORMATTING and tag in self.open:
+            self._end_formatting(tag)
+            return
         bound = {"table", "template", "html"} if tag in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "caption") else _SCOPE
         if tag == "table":
             bound = {"template", "html"}
@@ -183,13 +210,37 @@ class _Tree(HTMLParser):
             bound = bound - {tag}
         if tag in ("li",):
             bound = bound | {"ul", "ol"}
+        elif tag not in _ENDS_P and tag not in _TABLE_PARTS and tag != "table" and tag not in _SCOPE and tag not in _HIDDEN:
+            bound = bound | _ENDS_P  # the end of an inline element ends no block
         if tag in self.open:
             self._close_to({tag}, bound)
         if tag == "head":
             self.seen_body = True
 
+    def _end_formatting(self, tag: str) -> None:
+        """Ends the nearest element of a formatting tag; blocks that began within it stay open."""
+        k = max(at for at, t in enumerate(self.open) if t == tag)
+        above = self.open[k + 1 :]
+        if any(t in _SCOPE for t in above):
+            return
+        if not any(t in _ENDS_P for t in above):
+            self._close_to({tag}, set())
+            return
+        del self.open[k]
+        self.inside -= self.inside > k + 1
+        self.hidden -= self.hidden > k + 1
+        for table in self.tables:
+            table[0] -= table[0] > k + 1
+
     def handle_data(self, data):
-        if self.inside and not self.hidden:
+        if not self.inside or self.hidden:
+            return
+        table = self.tables[-1] if data.strip() and self._misplaced() else None
+        if table and table[0] > self.inside:
+            self.held.insert(table[2], data)
+            for other in self.tables:
+                other[2] += other[2] >= table[2]
+        else:
             self.held.append(data)
 
     def finish(self) -> list[Block]:

@@ -46,6 +46,27 @@ def test_html_implied_ends_and_dropped_text():
     assert texts("html", b"<p>open") == ["open"]
 
 
+@pytest.mark.parametrize(
+    ("page", "found"),
+    [
+        ("<table><tr><td>a</td></tr><p>before</p><tr><td>b</td></tr></table><p>after</p>", ["before", "a", "b", "after"]),
+        ("<table><div><p>one</p><h2>two</h2></div><tr><p>three<td>a<td>b</table>", ["one", "two", "three", "a", "b"]),
+        ("<blockquote>in <table>moved <tr>too <td>cell</td></tr></table> out</blockquote>", ["in moved too cell out"]),
+        ("<table><tr><td>x<table><tr><td>y</td></tr><tr>inner</tr></table>z</td></tr></table>", ["xinneryz"]),
+        ("<table><tr><td>a</td></tr><table><tr><td>b</td></tr></table>", ["a", "b"]),
+        ("<td>no cell</td><p>yes</p>", ["yes"]),
+        ("<b><p>x</b>y</p><p>z", ["xy", "z"]),
+        ("<span><p>x</span>y</p>", ["xy"]),
+        ("<p>a<b>b<p>c</b>d", ["ab", "cd"]),
+        ("<i><li>one</i> still<li>two</i>", ["one still", "two"]),
+        ("<table><caption>cap<tr><td>a</table><figcaption>fig", ["cap", "a", "fig"]),
+        ("<ul><li>a<table><tr><td>c</td></tr></table>d</ul>", ["acd"]),
+    ],
+)
+def test_html_content_that_is_moved_or_unclosed(page, found):
+    assert texts("html", page.encode()) == found
+
+
 def test_docx():
     found = shown("docx", make.docx([("Title", "The mill"), ("heading 4", "Wheel"), ("", "Oil it\nweekly."), ("List", "grease"), ("Quote", "So be it."), ("", " ")]))
     assert found == [("Heading", 1, "The mill"), ("Heading", 4, "Wheel"), ("Paragraph", 0, "Oil it\nweekly."), ("ListItem", 0, "grease"), ("Paragraph", 0, "So be it.")]
