@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 from blockmill.functions.text import clean, trim
@@ -18,7 +19,10 @@ MAX_COLUMNS = 8192
 
 
 def _number(text: str | None, default: int) -> int:
-    t = trim(text or "")
+    t = text or ""
+    if t.isascii() and t.isdigit():
+        return int(t)
+    t = trim(t)
     return int(t) if re.fullmatch(r"[+-]?[0-9]+", t) else default
 
 
@@ -180,9 +184,13 @@ def ods_blocks(data: bytes) -> list[Block]:
     return blocks
 
 
+_LETTERS = re.compile("[A-Za-z]+")
+
+
+@lru_cache(maxsize=1 << 16)
 def _place(reference: str | None) -> int | None:
     """Column of a cell reference, from 0."""
-    m = re.match("[A-Za-z]+", reference or "")
+    m = _LETTERS.match(reference or "")
     if not m:
         return None
     n = 0

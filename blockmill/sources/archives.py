@@ -7,6 +7,7 @@ import posixpath
 import zipfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from xml.parsers import expat
 
 # The bounds on documents and archives.
@@ -85,14 +86,17 @@ def resolve(base: str, target: str) -> str:
     return target[1:] if target.startswith("/") else posixpath.normpath(posixpath.join(base, target))
 
 
+@lru_cache(maxsize=1 << 12)
+def _local(name: str) -> str:
+    return name.rpartition(":")[2]
+
+
 def read_xml(data: bytes, start=None, text=None, end=None) -> bool:
     """Feeds elements (local name, attributes by local name, attributes as written) and text to the handlers until
     the end (True) or the first error (False). Entities that a document declares itself are errors, as are encodings other
     than UTF-8."""
     parser = expat.ParserCreate("utf-8")
     parser.buffer_text = True
-    local = lambda name: name.rpartition(":")[2]
-
     def declared(_version, encoding, _standalone):
         if encoding and encoding.lower() not in ("utf-8", "utf8"):
             raise expat.ExpatError(f"encoding {encoding}")
@@ -104,14 +108,14 @@ def read_xml(data: bytes, start=None, text=None, end=None) -> bool:
     def opened(name, attributes):
         short: dict[str, str] = {}
         for k, v in attributes.items():
-            short.setdefault(local(k), v)
-        start(local(name), short, attributes)
+            short.setdefault(_local(k), v)
+        start(_local(name), short, attributes)
 
     parser.XmlDeclHandler = declared
     if start:
         parser.StartElementHandler = opened
     if end:
-        parser.EndElementHandler = lambda name: end(local(name))
+        parser.EndElementHandler = lambda name: end(_local(name))
     if text:
         parser.CharacterDataHandler = text
     else:
