@@ -27,6 +27,8 @@ from blockmill.sources.tables import spread, with_checkpoints, written
 SPAN = 200
 #: Characters worked on at once; a longer text is taken in segments that overlap by three spans.
 SEGMENT = 1 << 19
+#: At most so many ids of documents are broadcast; more are joined.
+BROADCAST_IDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -176,8 +178,10 @@ class _Shared:
     def around(self, open_rows: DataFrame) -> DataFrame:
         """(doc, start, h) of the shared spans that hold an anchor equal to one of `open_rows`."""
         span = self.span
-        wanted = self.rows.join(open_rows.select("fp").distinct(), "fp", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("positions"))
-        texts = self.docs.join(wanted, "doc").select("doc", "text", "positions")
+        wanted = self.rows.join(open_rows.select("fp").distinct(), "fp", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("positions")).checkpoint()
+        # Where few documents are wanted, the others leave before the shuffle.
+        docs = self.docs.join(F.broadcast(wanted.select("doc")), "doc", "left_semi") if wanted.count() <= BROADCAST_IDS else self.docs
+        texts = docs.join(wanted, "doc").select("doc", "text", "positions")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
