@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from blockmill.functions.sizing import resolved_target
 from blockmill.llm import encodings, mail, mixing, neardup, packing, pieces, spans, tokens
-from blockmill.sources.tables import read_table
+from blockmill.sources.tables import latest_rows, read_table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,28 @@ def p3_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_items(packing.upload_items(blocks, chunks, uploads))
 
 
+def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers of each upload hold: items, bytes, and whether all keep to the capacity."""
+    held = p3_containers(spark, sf_dir)
+    uploads = latest_rows(read_table(spark, sf_dir, "uploads").where("upload_id IS NOT NULL"), ["upload_id"], "received_at", ["upload_id", "target_chars"])
+    sizes = uploads.select("upload_id", resolved_target(F.col("target_chars")).alias("capacity"))
+    filled = held.groupBy("rec", "upload_id", "container").agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("piece_no") <= 1, 1).otherwise(0)).alias("items")).join(sizes, "upload_id", "left")
+    fits = F.col("bytes") <= F.coalesce("capacity", resolved_target(F.lit(0)))
+    return filled.groupBy("rec", "upload_id").agg(F.sum("items").alias("items"), F.sum("bytes").alias("bytes"), F.bool_and(fits).alias("fits"))
+
+
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each oversized chunk cover it from end to end, keep to the limit and repeat what was asked."""
+    chunks, uploads = read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "uploads")
+    limits = pieces.oversized_chunks(chunks, uploads).select("chunk_id", F.col("__limit").alias("limit"), F.greatest(F.lit(0), F.least("__overlap", F.col("__limit") - 4)).alias("overlap"))
+    order = Window.partitionBy("chunk_id").orderBy("piece_no")  # the pieces of one text
+    rows = pieces.chunk_pieces(chunks, uploads).join(limits, "chunk_id").withColumn("before", F.lag("end_byte").over(order))
+    repeated = F.col("before") - F.col("start_byte")
+    good = F.when(F.col("before").isNull(), F.col("start_byte") == 0).otherwise(repeated.between(F.col("overlap") - 3, F.col("overlap")))
+    good = good & (F.octet_length("piece") == F.col("end_byte") - F.col("start_byte")) & ((F.octet_length("piece") <= F.col("limit")) | (F.length("piece") == 1))
+    return rows.groupBy("chunk_id").agg(F.max("end_byte").alias("n_bytes"), F.bool_and(good).alias("whole"))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.chunk_pieces(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "uploads"))
 
@@ -86,8 +109,10 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_containers": p3_containers,
+    "p3_totals": p3_totals,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_cover": p4_cover,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_ids": p6_ids,
@@ -137,6 +162,15 @@ ORACLES = {
         WITH {SIZED_UPLOADS}
         SELECT DISTINCT chunk_id FROM chunks LEFT JOIN sized USING (upload_id)
         WHERE strlen(text) > coalesce(limit_bytes, 6000)""",
+    "p3_totals": """
+        WITH items AS (
+            SELECT 'block' AS rec, upload_id, text FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY loaded_at DESC) AS n FROM blocks WHERE block_id IS NOT NULL) WHERE n = 1
+            UNION ALL SELECT 'chunk', upload_id, text FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC) AS n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n = 1)
+        SELECT rec, upload_id, CAST(count(*) AS BIGINT) AS items, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes, TRUE AS fits FROM items GROUP BY rec, upload_id""",
+    "p4_cover": f"""
+        WITH {SIZED_UPLOADS}
+        SELECT chunk_id, CAST(max(strlen(text)) AS BIGINT) AS n_bytes, TRUE AS whole FROM chunks LEFT JOIN sized USING (upload_id)
+        WHERE strlen(text) > coalesce(limit_bytes, 6000) GROUP BY chunk_id""",
     "p5_found": LINKED_PAIRS,
     "p8_found": SHARED_WINDOWS,
     "p8_share": SHARED_CHARS,
