@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from blockmill.functions.text import paragraph_list
 from blockmill.operators import office_formats as office
@@ -86,18 +88,33 @@ def _opened(format_name: str | None, content: bytes | None) -> tuple[str | None,
     return format_name, *blocks_of(format_name, data)
 
 
-def _parsed(format_name: str | None, content: bytes | None) -> tuple:
-    format_name, blocks, code, message = _opened(format_name, content)
-    rows = None if blocks is None else [{"kind": b.kind, "block_level": b.level, "text": b.text, "cells": b.cells, "row_no": b.row, "anchor_kind": b.anchor_kind, "slide": b.slide, "sheet": b.sheet} for b in blocks]
-    return format_name, rows, code, message
+_ARROW = to_arrow_type(_RESULT)
+_BLOCKS = _ARROW.field("blocks").type
 
 
-def _parse(formats: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parsed(f, c) for f, c in zip(formats, contents)], columns=_RESULT.names)
+def _rows_of(blocks: list[Block]) -> pa.Array:
+    fields = list(_BLOCKS.value_type)
+    return pa.StructArray.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*blocks), fields)], fields=fields)
+
+
+def _parse(formats: pa.Array, contents: pa.Array) -> pa.Array:
+    """Documents to blocks, one after the other straight to Arrow, so that only one at a time is held as objects."""
+    found, rows, starts = [], [], [0]
+    for kind, content in zip(formats, contents):
+        format_name, blocks, code, message = _opened(kind.as_py(), content.as_py())
+        found.append((format_name, blocks is None, code, message))
+        if blocks:
+            rows.append(_rows_of(blocks))
+        starts.append(starts[-1] + len(blocks or ()))
+    names, without, codes, messages = zip(*found) if found else ((), (), (), ())
+    every = pa.concat_arrays(rows) if rows else pa.array([], _BLOCKS.value_type)
+    del rows
+    listed = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), every, type=_BLOCKS, mask=pa.array(without, pa.bool_()))
+    return pa.StructArray.from_arrays([pa.array(names, pa.string()), listed, pa.array(codes, pa.string()), pa.array(messages, pa.string())], fields=list(_ARROW))
 
 
 # Not deterministic by declaration: else Catalyst would run it again for a filter on its result.
-_parse_udf = F.pandas_udf(_parse, _RESULT).asNondeterministic()
+_parse_udf = F.arrow_udf(_parse, _RESULT).asNondeterministic()
 
 
 _CHUNKED = T.StructType([T.StructField("format", T.StringType()), T.StructField("chunks", CHUNKS), T.StructField("code", T.StringType()), T.StructField("message", T.StringType())])

@@ -370,7 +370,7 @@ def xlsx_typed_roundtrip(spark, sf_dir):
     columns = [F.col("l_orderkey").cast("string"), *[F.col(c).cast("string") for c in ("l_quantity", "l_discount", "l_extendedprice")], days, days]
     rows = _line_cells(spark, sf_dir, "lineitem", "l_orderkey", columns, ["l_orderkey", "l_linenumber"])
     codes = [None, "0.0", "0%", "#,##0.00", "yyyy-mm-dd", "d-mmm-yy"]
-    made = _built(rows, lambda p: builders.typed_xlsx([list(zip(line.split("\x1f"), codes)) for line in p]))
+    made = _built(rows, lambda p: builders.coded_xlsx(_grid(p), codes))
     return _extracted(made).select("doc_id", "row_no", F.array_join("cells", "|").alias("line"))
 
 

@@ -1,5 +1,7 @@
 """Extractors on documents built in memory."""
 
+import cProfile
+
 import pytest
 
 from blockmill.operators.blocks import Block
@@ -105,9 +107,42 @@ def test_sheet_formats():
     assert cells("xlsx", make.zipped({"xl/workbook.xml": f"<workbook {make.R}><sheet name='s' r:id='a'/></workbook>", "xl/_rels/workbook.xml.rels": "<r><Relationship Id='a' Target='w.xml'/></r>", "xl/w.xml": rich})) == [(1, ["ab", "TRUE", "", "", "s"])]
 
 
+def workbook(sheet):
+    styles = "<s><numFmt numFmtId='164' formatCode='#,##0.00'/><cellXfs><xf numFmtId='0'/><xf numFmtId='164'/><xf numFmtId='9'/></cellXfs></s>"
+    return make.zipped({"xl/workbook.xml": f"<workbook {make.R}><sheet name='s' r:id='a'/></workbook>", "xl/_rels/workbook.xml.rels": "<r><Relationship Id='a' Target='w.xml'/></r>", "xl/styles.xml": styles, "xl/sharedStrings.xml": "<sst><si><t>oats</t></si></sst>", "xl/w.xml": sheet})
+
+
+def test_rows_of_numbers_cost_few_calls():
+    lines = [[str(n), f"{n}.5", "0.07", f"{n * 37 % 1000}.25", str(36000 + n)] for n in range(2000)]
+    codes = [None, "0.0", "0%", "#,##0.00", "yyyy-mm-dd"]
+    profile = cProfile.Profile()
+    found = profile.runcall(lambda: cells("xlsx", make.typed_xlsx([list(zip(line, codes)) for line in lines])))
+    assert found[1999] == (2000, ["1999", "1999.5", "7%", "963.25", "2004-01-13"]) and len(found) == 2000
+    assert sum(e.callcount for e in profile.getstats()) / 2000 < 150
+
+
+@pytest.mark.parametrize(
+    "row",
+    [
+        '<row r="7" spans="1:3"><c r="A7" s="1"><v>1234.5</v></c><c r="C7" t="s"><v>0</v></c><c r="D7" s="2"/></row>',
+        '<row spans="1:3" r="7"><c r="A7" s="1"><v>1</v></c></row>', "<row><c><v>1</v></c></row>", '<row r="7"/>', '<row r="7"><c r="B7" t="inlineStr"><is><t>a&amp;b</t></is></c></row>',
+        # As many tags as two cells of a value have.
+        '<row r="7"><c r="A7" s="1" t="s"/><c r="B7" t="str"><v>x</v></c><c R="C7"><v/></c></row>', '<row r="7"><c r="A7"><f></f></c></row>', '<row r="7"><c r="A7"><row><c r="B1"><v>2</v></c></row></c></row>', '<row a=">" r="7"><c r="A7"><v>1</v></c></row >',
+        '<rowBreaks count="1"/>', '<x:row r="9"><c r="A9"><v>9</v></c></x:row>', '<row r="7"><c r="a7" s="2" t="n"><v>0.125</v></c></row>', '<row r="7"><c r="A7"><v>\r\n1</v></c></row>', '<row r="7"><c r="A7"><v>cut',
+    ],
+)
+def test_rows_read_by_patterns_are_those_of_their_trees(row):
+    number = lambda n: f'<row r="{n}"><c r="A{n}" s="1"><v>{n}000</v></c><c r="B{n}"><v>{n}</v></c></row>'
+    sheet = f"<worksheet><sheetData>{number(1)}{number(2)}{number(3)}{row}{row}{number(20)}{number(21)}{number(22)}</sheetData></worksheet>"
+    # A comment leaves it to trees.
+    assert cells("xlsx", workbook(sheet)) == cells("xlsx", workbook(sheet.replace("<sheetData>", "<sheetData><!-- -->")))
+    assert cells("xlsx", workbook(sheet))[:3] == [(1, ["1,000.00", "1"]), (2, ["2,000.00", "2"]), (3, ["3,000.00", "3"])]
+
+
 @pytest.mark.parametrize(
     ("value", "code", "text"),
     [
+        ("99.995", "0.00", "100.00"), ("1234567.5", "#,##0", "1,234,568"), ("0.005", "0%", "1%"), ("-0.4", "0", "0"), ("007", "0", "7"), ("12345678901234567.5", "0.0", "12345678901234567.5"), ("1.", "0.0", "1.0"), ("٣", "0.0", "3.0"), ("1234.5", "#,##0.000%", "123,450.000%"),
         ("0.5", 0, "0.5"), ("0.5", 2, "0.50"), ("0.5", 9, "50%"), ("0.5", 10, "50.00%"), ("45000", 14, "03-15-23"), ("45000", 15, "15-Mar-23"), ("45000.5", 22, "3/15/23 12:00"),
         ("12345", 11, "1.23E+04"), ("0.25", 12, "1/4"), ("-1234.5", 39, "(1,234.50)"), ("-1234.5", 44, " $(1,234.50)"), ("1.5", 46, "36:00:00"), ("0.001", 47, "01:26.4"), ("12345", 48, "12.3E+3"), ("text", 4, "text"),
         ("45000.75", "d/m/yyyy h:mm AM/PM", "15/3/2023 6:00 PM"), ("45000", "dddd, mmmm d", "Wednesday, March 15"), ("1234567", '0.0,,"M"', "1.2M"), ("5", "[$€-407] 0.00", "€ 5.00"), ("5551234", "000-0000", "555-1234"),
